@@ -63,21 +63,6 @@ def weight_keys(unit_id: str | Column) -> tuple[Column, Column]:
     return tuple(halves)
 
 
-def _mix(x: Column) -> Column:
-    for _ in range(2):
-        x = x.bitwiseXOR(F.shiftright(x, 16))
-        x = (x * F.lit(_MIX_FACTOR)).bitwiseAND(F.lit(_MASK32))
-    return x.bitwiseXOR(F.shiftright(x, 16))
-
-
-def bootstrap_weight(unit_id: str | Column, replicate: Column, seed: int) -> Column:
-    """Poisson(1) weight of a unit in a bootstrap replicate, as an expression."""
-    first, second = weight_keys(unit_id)
-    stream = (replicate.cast("bigint") * F.lit(_GOLDEN) + F.lit(seed)).bitwiseAND(F.lit(_MASK32))
-    bits = _mix(_mix(first.bitwiseXOR(_mix(stream))).bitwiseXOR(second))
-    return sum((F.when(bits >= F.lit(c), 1).otherwise(0) for c in POISSON_ONE_CUTS), F.lit(0))
-
-
 def _mix_np(x: np.ndarray) -> np.ndarray:
     factor, shift = np.uint32(_MIX_FACTOR), np.uint32(16)
     x = x ^ (x >> shift)

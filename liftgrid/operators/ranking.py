@@ -108,6 +108,7 @@ def fit_buckets(
     unit_id: str,
     rows_per_bucket: int = ROWS_PER_BUCKET,
     max_buckets: int = MAX_BUCKETS,
+    split_ties: bool = True,
 ) -> Buckets:
     """Fit cut values so that no bucket holds much more than 1/n-th of the rows.
 
@@ -135,7 +136,7 @@ def fit_buckets(
     if len(splits) < 3:
         return Buckets(rows=found.n)
     kind = scored.schema[unit_id].dataType
-    tied = {v: c for v, c in repeats.items() if c > 2}
+    tied = {v: c for v, c in repeats.items() if c > 2 and split_ties}
     base = Buckets(found.n, splits, [], sorted(tied), found.low, found.high, kind)
     if not tied:
         return base
@@ -166,13 +167,18 @@ def bucketed(
 
 
 def bucket_totals(
-    placed: DataFrame, groups: Sequence[str], sums: Mapping[str, Column]
+    placed: DataFrame,
+    groups: Sequence[str],
+    sums: Mapping[str, Column],
+    extra: Sequence[Column] = (),
 ) -> DataFrame:
     """Per (groups, bucket): sums, the sums of all earlier buckets and of the whole group.
 
     Rows combine map-side; what is left is one row per bucket.
     """
-    per = placed.groupBy(*groups, BUCKET).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    per = placed.groupBy(*groups, BUCKET).agg(
+        *[F.sum(c).alias(n) for n, c in sums.items()], *extra
+    )
     everything = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
     earlier = everything.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     return per.withColumns(

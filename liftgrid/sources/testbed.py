@@ -41,8 +41,11 @@ def read_tables(spark: SparkSession, folder: str, *names: str) -> dict[str, Data
 
 def experiment(spark: SparkSession, folder: str) -> DataFrame:
     """The experiment frame over the tables in ``folder``."""
-    tables = read_tables(spark, folder, "lineitem", "orders", "part", "customer")
-    bound = {n: df for n, df in tables.items()}
+    bound = read_tables(spark, folder, "lineitem", "orders", "part", "customer")
+    cores = spark.sparkContext.defaultParallelism
+    if bound["lineitem"].rdd.getNumPartitions() < cores:
+        # A table in few files would leave the digests of all units to few tasks.
+        bound["lineitem"] = bound["lineitem"].repartition(cores)
     text = EXPERIMENT_SQL
     for n in bound:
         text = text.replace(f" {n} ", f" {{{n}}} ")

@@ -21,8 +21,7 @@ POISSON_ONE_CUTS = (
     0xFFFA8B71,
 )
 
-_MASK32 = 0xFFFFFFFF
-_MIX_FACTOR = 0x45D9F3B  # below 2^31, so a product with a 32-bit value fits a signed 64-bit one
+_MIX_FACTOR = 0x45D9F3B  # below 2^31, so SQL can form the products in 64 bits
 _GOLDEN = 0x9E3779B9
 
 
@@ -64,24 +63,24 @@ def weight_keys(unit_id: str | Column) -> tuple[Column, Column]:
 
 
 def _mix_np(x: np.ndarray) -> np.ndarray:
-    factor, shift = np.uint32(_MIX_FACTOR), np.uint32(16)
-    x = x ^ (x >> shift)
-    x *= factor
-    x ^= x >> shift
-    x *= factor
-    x ^= x >> shift
-    return x
+    """Scramble 32-bit values in place; the multiplications wrap around."""
+    factor, shift, part = np.uint32(_MIX_FACTOR), np.uint32(16), np.empty_like(x)
+    for _ in range(2):
+        np.bitwise_xor(x, np.right_shift(x, shift, out=part), out=x)
+        np.multiply(x, factor, out=x)
+    return np.bitwise_xor(x, np.right_shift(x, shift, out=part), out=x)
 
 
 def bootstrap_weights_np(
     first: np.ndarray, second: np.ndarray, replicates: np.ndarray, seed: int
 ) -> np.ndarray:
-    """The same weights for a batch: one row per unit, one column per replicate, as uint8."""
+    """Poisson(1) weights of a batch: one row per unit, one column per replicate, as uint8."""
     stream = (replicates.astype(np.uint64) * np.uint64(_GOLDEN) + np.uint64(seed)).astype(np.uint32)
     bits = _mix_np(first.astype(np.uint32)[:, None] ^ _mix_np(stream)[None, :])
-    bits ^= second.astype(np.uint32)[:, None]
+    np.bitwise_xor(bits, second.astype(np.uint32)[:, None], out=bits)
     bits = _mix_np(bits)
-    weights = np.zeros(bits.shape, dtype=np.uint8)
+    weights, reached = np.zeros(bits.shape, dtype=np.uint8), np.empty(bits.shape, dtype=bool)
     for cut in POISSON_ONE_CUTS:
-        weights += bits >= np.uint32(cut)
+        np.greater_equal(bits, np.uint32(cut), out=reached)
+        np.add(weights, reached.view(np.uint8), out=weights)
     return weights

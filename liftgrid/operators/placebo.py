@@ -52,14 +52,14 @@ def placebo_verdict(
     The interval containing 0 is the statistical check. The practical one decides: the mean must
     be small next to the real effect of the experiment.
     """
-    one = scores.withColumn("_all", F.lit(0))
-    stats = one.groupBy("_all").agg(
+    one = scores.withColumn("_everyone", F.lit(0))
+    stats = one.groupBy("_everyone").agg(
         F.count(F.lit(1)).alias("n_scored"),
         F.avg("tau").alias("_mean"),
         F.stddev_pop("tau").alias("_std"),
     )
-    means = bootstrap_means(one, unit_id, "tau", ["_all"], replicates, seed)
-    joined = stats.join(percentile_interval(means, ["mean"], ["_all"]), "_all")
+    means = bootstrap_means(one, unit_id, "tau", ["_everyone"], replicates, seed)
+    joined = stats.join(percentile_interval(means, ["mean"], ["_everyone"]), "_everyone")
     real = abs(float(real_ate))
     ratio = F.abs("_mean") / F.lit(real) if real > 0 else F.lit(float("inf"))
     practical = ratio < share

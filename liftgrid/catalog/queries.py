@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,8 +48,9 @@ from liftgrid.sources.testbed import SPEC, experiment
 
 REPLICATES = 8
 Query = Callable[[SparkSession, str], DataFrame]
+R = TypeVar("R")
 
-_stored: dict[tuple[str, str, str], DataFrame] = {}
+_stored: dict[tuple[str, str, str], object] = {}
 
 
 def scratch(spark: SparkSession) -> str:
@@ -56,7 +58,7 @@ def scratch(spark: SparkSession) -> str:
     return f"{checkpoint_dir(spark)}/liftgrid-{uuid.uuid4().hex}"
 
 
-def _once(spark: SparkSession, folder: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+def _once(spark: SparkSession, folder: str, name: str, build: Callable[[], R]) -> R:
     key = (spark.sparkContext.applicationId, folder, name)
     if key not in _stored:
         _stored[key] = build()
@@ -72,7 +74,7 @@ def units(spark: SparkSession, folder: str) -> DataFrame:
     def build() -> DataFrame:
         path = scratch(spark)
         wide = experiment(spark, folder)
-        tables.write_by_arm(wide, path, SPEC, spark.sparkContext.defaultParallelism)
+        tables.write_by_arm(wide, path, SPEC)
         return tables.read_by_arm(spark, path, SPEC)
 
     return _once(spark, folder, "units", build)
@@ -417,8 +419,12 @@ TRIAL = BoostParams(rounds=10, depth=3, step=0.2, min_leaf=20, patience=5)
 
 
 def _outcome_models(spark: SparkSession, folder: str):
+    """The two-model learner, fitted once; the imputed-outcome learner builds on it."""
     train, val = (splits(spark, folder).where(F.col("split") == s) for s in ("train", "val"))
-    return fit_t_learner(train, SPEC, val, "visit", TRIAL), train, val
+    model = _once(
+        spark, folder, "t_learner", lambda: fit_t_learner(train, SPEC, val, "visit", TRIAL)
+    )
+    return model, train, val
 
 
 def _test(spark: SparkSession, folder: str) -> DataFrame:

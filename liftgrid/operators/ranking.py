@@ -24,11 +24,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from liftgrid.session import cut_lineage
+
 BUCKET = "_bucket"
 SCORE = "_score"
 
 ROWS_PER_BUCKET = 10_000
-MAX_BUCKETS = 2048
+MIN_LIMIT, MAX_LIMIT = 2048, 8192  # most buckets asked for, by size of the cluster
 _KEY_BITS = 40
 _KEY_SPAN = float(2**_KEY_BITS)
 _SUB_SPAN = 2**21
@@ -107,7 +109,7 @@ def fit_buckets(
     scored: DataFrame,
     unit_id: str,
     rows_per_bucket: int = ROWS_PER_BUCKET,
-    max_buckets: int = MAX_BUCKETS,
+    max_buckets: int | None = None,
     split_ties: bool = True,
 ) -> Buckets:
     """Fit cut values so that no bucket holds much more than 1/n-th of the rows.
@@ -116,6 +118,9 @@ def fit_buckets(
     often enough to fill several buckets. At most ``max_buckets`` numbers reach the driver.
     Scores of all groups are pooled: a bucket of one group never exceeds the pooled bucket.
     """
+    if max_buckets is None:
+        cores = scored.sparkSession.sparkContext.defaultParallelism
+        max_buckets = min(max(MIN_LIMIT, 2 * cores), MAX_LIMIT)
     found = scored.agg(
         F.count(F.lit(1)).alias("n"),
         _even_cuts(SCORE, max_buckets).alias("cuts"),
@@ -159,11 +164,10 @@ def bucketed(
     score: str | Column,
     unit_id: str,
     rows_per_bucket: int = ROWS_PER_BUCKET,
-    max_buckets: int = MAX_BUCKETS,
 ) -> DataFrame:
     """Add the ordering score and the bucket to ``df``."""
     scored = df.withColumn(SCORE, ordered_score(score))
-    return fit_buckets(scored, unit_id, rows_per_bucket, max_buckets).place(scored, unit_id)
+    return fit_buckets(scored, unit_id, rows_per_bucket).place(scored, unit_id)
 
 
 def bucket_totals(
@@ -240,16 +244,16 @@ def rows_at_ranks(
         .where((F.col("at") > before) & (F.col("at") <= before + F.col("_rows")))
         .select(*groups, BUCKET, "cut", "n", "at", (F.col("at") - before).alias("_local"))
     )
-    hits = bounded(hits)
-    pick = F.broadcast(hits.select(*groups, BUCKET).distinct())
+    hits = settled(hits)
+    pick = hits.select(*groups, BUCKET).distinct()
     here = Window.partitionBy(*groups, BUCKET).orderBy(*(order or rank_order(unit_id)))
     inside = (
         placed.select(*dict.fromkeys([*groups, BUCKET, unit_id, *carry]))
-        .join(pick, [*groups, BUCKET], "left_semi")
+        .join(small(pick, hits), [*groups, BUCKET], "left_semi")
         .withColumn("_local", F.row_number().over(here).cast("bigint"))
     )
-    found = inside.join(F.broadcast(hits), [*groups, BUCKET, "_local"])
-    return bounded(found.select(*groups, "cut", "n", "at", unit_id, *carry))
+    found = inside.join(small(hits, hits), [*groups, BUCKET, "_local"])
+    return settled(found.select(*groups, "cut", "n", "at", unit_id, *carry))
 
 
 def bounded(df: DataFrame, limit: int = _BOUNDED_ROWS) -> DataFrame:
@@ -259,10 +263,24 @@ def bounded(df: DataFrame, limit: int = _BOUNDED_ROWS) -> DataFrame:
     """
     table = df.limit(limit + 1).toArrow()
     if table.num_rows > limit:
-        raise ValueError(f"more than {limit} rows in a table meant to be small; use fewer groups")
+        raise ValueError(f"more than {limit} rows in a table meant to be small")
     return df.sparkSession.createDataFrame(table, df.schema)
 
 
+def settled(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """Compute a side table once: as a local table when small, else in the checkpoint folder."""
+    limit = _BOUNDED_ROWS if limit is None else limit
+    table = df.limit(limit + 1).toArrow()
+    if table.num_rows > limit:
+        return cut_lineage(df)
+    return df.sparkSession.createDataFrame(table, df.schema)
+
+
+def small(df: DataFrame, source: DataFrame) -> DataFrame:
+    """Mark ``df`` for broadcasting if it derives from a local table, whose size is known."""
+    return F.broadcast(df) if source.isLocal() else df
+
+
 def within_cuts(
     df: DataFrame,
     unit_id: str,
@@ -273,17 +291,9 @@ def within_cuts(
 ) -> DataFrame:
     """Add a boolean column per cut: is the row ranked at or above the cut's row?
 
-    ``cut_rows`` comes from :func:`rows_at_ranks`. Rows are compared with a broadcast local
-    table, nothing is shuffled.
+    ``cut_rows`` comes from :func:`rows_at_ranks`. While that is a local table, rows are compared
+    with its broadcast and nothing is shuffled; a larger one is joined by group.
     """
-    rows: dict[tuple, dict[str, object]] = {}
-    for r in cut_rows.collect():
-        cells = rows.setdefault(tuple(r[g] for g in groups), {})
-        cells[f"_cut_score_{r['cut']}"], cells[f"_cut_unit_{r['cut']}"] = r[score], r[unit_id]
-    fields = [T.StructField(g, df.schema[g].dataType) for g in groups]
-    for name in names:
-        fields.append(T.StructField(f"_cut_score_{name}", cut_rows.schema[score].dataType))
-        fields.append(T.StructField(f"_cut_unit_{name}", cut_rows.schema[unit_id].dataType))
 
     def above(score_at: Column, unit_at: Column) -> Column:
         ahead = F.col(score) > score_at if score == SCORE else F.col(score) < score_at
@@ -291,23 +301,26 @@ def within_cuts(
         return F.coalesce(hit, F.lit(False))
 
     if not groups:
-        cells = rows.get((), {})
-
-        def at(field: T.StructField) -> Column:
-            return F.lit(cells.get(field.name)).cast(field.dataType)
-
-        pairs = zip(names, fields[0::2], fields[1::2])
-        return df.withColumns({name: above(at(s), at(u)) for name, s, u in pairs})
-    data = [
-        tuple(key) + tuple(cells.get(f.name) for f in fields[len(groups) :])
-        for key, cells in rows.items()
-    ]
-    wide = bounded(df.sparkSession.createDataFrame(data, T.StructType(fields)))
-    joined = df.join(F.broadcast(wide), list(groups), "left")
-    flags = {
-        name: above(F.col(f"_cut_score_{name}"), F.col(f"_cut_unit_{name}")) for name in names
-    }
-    return joined.withColumns(flags).drop(*[f.name for f in fields[len(groups) :]])
+        found = {r["cut"]: r for r in cut_rows.collect()}
+        score_type, unit_type = (cut_rows.schema[c].dataType for c in (score, unit_id))
+
+        def at(name: str, column: str, kind: T.DataType) -> Column:
+            return F.lit(found[name][column] if name in found else None).cast(kind)
+
+        return df.withColumns(
+            {c: above(at(c, score, score_type), at(c, unit_id, unit_type)) for c in names}
+        )
+    picks = {}
+    for name in names:
+        here = F.col("cut") == name
+        picks[f"_cut_score_{name}"] = F.max(F.when(here, F.col(score)))
+        picks[f"_cut_unit_{name}"] = F.max(F.when(here, F.col(unit_id)))
+    wide = cut_rows.groupBy(*groups).agg(*[c.alias(n) for n, c in picks.items()])
+    if cut_rows.isLocal():
+        wide = settled(wide)
+    joined = df.join(small(wide, wide), list(groups), "left")
+    flags = {c: above(F.col(f"_cut_score_{c}"), F.col(f"_cut_unit_{c}")) for c in names}
+    return joined.withColumns(flags).drop(*picks)
 
 
 def percentile_rank_bounds(prob: float, n: Column) -> tuple[Column, Column, Column]:

@@ -19,10 +19,12 @@ import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from liftgrid.session import cut_lineage
 
@@ -310,17 +312,33 @@ def within_cuts(
         return df.withColumns(
             {c: above(at(c, score, score_type), at(c, unit_id, unit_type)) for c in names}
         )
-    picks = {}
-    for name in names:
-        here = F.col("cut") == name
-        picks[f"_cut_score_{name}"] = F.max(F.when(here, F.col(score)))
-        picks[f"_cut_unit_{name}"] = F.max(F.when(here, F.col(unit_id)))
-    wide = cut_rows.groupBy(*groups).agg(*[c.alias(n) for n, c in picks.items()])
-    if cut_rows.isLocal():
-        wide = settled(wide)
+    wide = _cuts_by_group(cut_rows, groups, names, score, unit_id)
     joined = df.join(small(wide, wide), list(groups), "left")
     flags = {c: above(F.col(f"_cut_score_{c}"), F.col(f"_cut_unit_{c}")) for c in names}
-    return joined.withColumns(flags).drop(*picks)
+    return joined.withColumns(flags).drop(*[c for c in wide.columns if c not in groups])
+
+
+def _cuts_by_group(
+    cut_rows: DataFrame, groups: Sequence[str], names: Sequence[str], score: str, unit_id: str
+) -> DataFrame:
+    """One row per group with the score and unit of each cut; local if ``cut_rows`` is."""
+    kinds = {"score": score, "unit": unit_id}
+    columns = {f"_cut_{k}_{n}": (c, n) for n in names for k, c in kinds.items()}
+    if not cut_rows.isLocal():
+        picks = [F.max(F.when(F.col("cut") == n, F.col(c))).alias(k) for k, (c, n) in columns.items()]
+        return cut_rows.groupBy(*groups).agg(*picks)
+    fields = [cut_rows.schema[g] for g in groups]
+    fields += [T.StructField(k, cut_rows.schema[c].dataType) for k, (c, _) in columns.items()]
+    schema = T.StructType(fields)
+    found: dict[tuple, dict[str, object]] = {}
+    for r in cut_rows.collect():
+        row = found.setdefault(tuple(r[g] for g in groups), {g: r[g] for g in groups})
+        row |= {k: r[c] for k, (c, n) in columns.items() if n == r["cut"]}
+    table = pa.Table.from_pylist(
+        [{f.name: row.get(f.name) for f in fields} for row in found.values()],
+        schema=to_arrow_schema(schema),
+    )
+    return cut_rows.sparkSession.createDataFrame(table, schema)
 
 
 def percentile_rank_bounds(prob: float, n: Column) -> tuple[Column, Column, Column]:

@@ -276,16 +276,14 @@ def permutation_check(
         "_shuffled", shuffled_score(spec.unit_id, seed)
     )
     metrics = ranking_metrics(slim, spec, "_shuffled", y, groups, (), rows_per_bucket)
-    return sanity_columns(metrics.withColumnRenamed("qini", "_q").withColumnRenamed("ate", "_a"), groups)
+    return metrics.select(*groups, *sanity_columns(F.col("qini"), F.col("ate")))
 
 
-def sanity_columns(metrics: DataFrame, groups: Sequence[str]) -> DataFrame:
-    q, a = F.col("_q"), F.col("_a")
-    limit = F.when(a != 0, 0.1 * F.abs(a)).otherwise(F.lit(1e-4))
-    return metrics.select(
-        *groups,
-        F.round(q, 6).alias("shuffled_tau_qini"),
-        F.round(a, 6).alias("ate_for_reference"),
-        (F.abs(q) < limit).alias("sanity_pass"),
-    )
-
+def sanity_columns(qini: Column, ate: Column) -> list[Column]:
+    """The shuffled check's columns, from the Qini and the ATE of a random ranking."""
+    limit = F.when(ate != 0, 0.1 * F.abs(ate)).otherwise(F.lit(1e-4))
+    return [
+        F.round(qini, 6).alias("shuffled_tau_qini"),
+        F.round(ate, 6).alias("ate_for_reference"),
+        (F.abs(qini) < limit).alias("sanity_pass"),
+    ]

@@ -23,11 +23,17 @@ def local_session(cpus: str | int = "*", shuffle_partitions: int = 8, memory: st
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a private one only where none is set."""
+    """The folder named by ``spark.checkpoint.dir``, which driver and executors share.
+
+    Where none is set, a session on one machine gets a private folder; any other is refused,
+    because its executors would write to folders that the rest cannot see.
+    """
     sc = spark.sparkContext
-    shared = spark.conf.get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir()
     if current is None:
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not sc.master.startswith("local["):
+            raise ValueError(f"set spark.checkpoint.dir to a shared folder; the master is {sc.master}")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="liftgrid-checkpoint-"))
         current = sc.getCheckpointDir()
     return current

@@ -66,6 +66,16 @@ def with_group_min(df: DataFrame, key: str, value: str, out: str, spread: list[s
     return salted.join(low, [key, "_salt"]).drop("_salt")
 
 
+def with_lookup(df: DataFrame, key: str, small: DataFrame, spread: list[str]) -> DataFrame:
+    """Inner join with one row per ``key``, where a ``key`` of ``df`` may have any share of its rows.
+
+    The row of a key is first copied to the pieces that its group is dealt to, ``SALTS`` at most.
+    """
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("short"))
+    pieces = salted.select(key, "_salt").distinct().join(small, key)
+    return salted.join(pieces, [key, "_salt"]).drop("_salt")
+
+
 def components(edges: DataFrame, left: str, right: str) -> DataFrame:
     """``(node, root)`` for every node of an edge, root being the smallest reachable node.
 

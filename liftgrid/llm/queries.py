@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from liftgrid.llm import sharding, urlfilter
+from liftgrid.llm import sharding, simhash, urlfilter
 from liftgrid.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +47,16 @@ def op5_wildcard_urls(spark: SparkSession, folder: str) -> DataFrame:
     return urlfilter.filter_urls(table(spark, folder, "pages"), "page_id", "url", RULES)
 
 
+def op10_simhash_pivots(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprint and near-duplicate group of every document."""
+    found = simhash.near_duplicates(table(spark, folder, "documents"), "doc_id", "text", words=3, max_bits=2)
+    return found.select(
+        "doc_id",
+        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        F.col("component").alias("component_id"),
+    )
+
+
 OP5_SQL = r"""
 WITH parts AS (
   SELECT page_id,
@@ -68,6 +78,7 @@ FROM parts p LEFT JOIN hits h USING (page_id)
 QUERIES: dict[str, Query] = {
     "op1_proportional_shards": op1_proportional_shards,
     "op5_wildcard_urls": op5_wildcard_urls,
+    "op10_simhash_pivots": op10_simhash_pivots,
 }
 
 ORACLE: dict[str, str] = {"op5_wildcard_urls": OP5_SQL}

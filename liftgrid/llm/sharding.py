@@ -13,11 +13,15 @@ buckets are added. A source with a third of all rows is so split like the rest.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows that one bucket of either order holds on average.
-BUCKET_ROWS = 4096
+
+def bucket_count(rows: int) -> int:
+    """About as many buckets as rows in a bucket: neither the list of buckets nor a bucket grows large."""
+    return max(1, rows // max(256, math.isqrt(rows)))
 
 
 def _offsets(counts: DataFrame, group: list[str], bucket: str, out: str) -> DataFrame:
@@ -32,7 +36,6 @@ def interleave(
     order: list[Column],
     shards: int = 16,
     seed: int = 42,
-    bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
     """All columns of ``df`` plus ``shard`` (int, 0 to ``shards - 1``) and ``slot`` (long).
 
@@ -50,7 +53,7 @@ def interleave(
         F.xxhash64(F.lit(seed), *order).alias("_hash"),
     )
     total = df.count()
-    buckets = max(1, total // bucket_rows)
+    buckets = bucket_count(total)
     fine = rows.withColumn("_fine", F.floor((F.col("_hash") / F.lit(2.0**64) + 0.5) * buckets))
 
     counts = fine.groupBy("_source", "_fine").agg(F.count("*").alias("_n"))

@@ -21,7 +21,7 @@ def connect(folder: str) -> duckdb.DuckDBPyConnection:
 
 
 def _cell(value: object) -> object:
-    if value is None or (isinstance(value, float) and math.isnan(value)) or value is pd.NaT:
+    if value is None or (isinstance(value, float) and math.isnan(value)) or value is pd.NaT or value is pd.NA:
         return None
     if hasattr(value, "item"):
         value = value.item()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from liftgrid.llm import sharding, simhash, urlfilter
+from liftgrid.llm import sharding, simhash, urlfilter, warc
 from liftgrid.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,33 @@ def op1_proportional_shards(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_capture_index(spark: SparkSession, folder: str) -> DataFrame:
+    """Write every page to archives, index them, and read each back through the index."""
+    pages = table(spark, folder, "pages")
+    captures = warc.write_archives(pages, "page_id", "url", F.col("html").cast("binary"))
+    index = warc.build_index(captures)
+    wanted = pages.select(warc.surt(F.col("url")).alias("surt"), F.col("page_id").alias("k")).distinct()
+    return warc.read_records(warc.lookup(index, wanted)).select(
+        F.col("k").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+OP2_SQL = """
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages
+), g AS (
+  SELECT page_id, octet_length(payload) AS n, sha1(payload) AS hash, min(page_id) OVER (PARTITION BY payload) AS first FROM p
+)
+SELECT page_id, n AS payload_bytes,
+  list_aggregate([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (
+      (CAST('0x' || substr(hash, 1 + 10 * (i // 8), 10) AS BIGINT) >> (35 - 5 * (i % 8))) & 31)::INT, 1)
+    FOR i IN range(32)], 'string_agg', '') AS payload_digest,
+  CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first <> page_id THEN first END AS refers_to
+FROM g
+"""
+
+
 def op5_wildcard_urls(spark: SparkSession, folder: str) -> DataFrame:
     """The verdict on every page's URL."""
     return urlfilter.filter_urls(table(spark, folder, "pages"), "page_id", "url", RULES)
@@ -77,8 +104,9 @@ FROM parts p LEFT JOIN hits h USING (page_id)
 
 QUERIES: dict[str, Query] = {
     "op1_proportional_shards": op1_proportional_shards,
+    "op2_capture_index": op2_capture_index,
     "op5_wildcard_urls": op5_wildcard_urls,
     "op10_simhash_pivots": op10_simhash_pivots,
 }
 
-ORACLE: dict[str, str] = {"op5_wildcard_urls": OP5_SQL}
+ORACLE: dict[str, str] = {"op2_capture_index": OP2_SQL, "op5_wildcard_urls": OP5_SQL}

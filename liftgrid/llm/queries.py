@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from liftgrid.llm import sharding, simhash, urlfilter, warc
+from liftgrid.llm import packing, sharding, simhash, urlfilter, warc
 from liftgrid.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,6 +75,21 @@ def op5_wildcard_urls(spark: SparkSession, folder: str) -> DataFrame:
     return urlfilter.filter_urls(table(spark, folder, "pages"), "page_id", "url", RULES)
 
 
+def op6_bin_slack(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in windows of 2048 ids."""
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    packed = packing.pack_documents(table(spark, folder, "documents"), "doc_id", "text", tokenizer)
+    return packed.select(
+        F.col("k").alias("doc_id"),
+        "start",
+        "length",
+        F.crc32("ids").alias("ids_crc32"),
+        "doc_tokens",
+        "sequence_id",
+        "offset",
+    )
+
+
 def op10_simhash_pivots(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and near-duplicate group of every document."""
     found = simhash.near_duplicates(table(spark, folder, "documents"), "doc_id", "text", words=3, max_bits=2)
@@ -106,6 +122,7 @@ QUERIES: dict[str, Query] = {
     "op1_proportional_shards": op1_proportional_shards,
     "op2_capture_index": op2_capture_index,
     "op5_wildcard_urls": op5_wildcard_urls,
+    "op6_bin_slack": op6_bin_slack,
     "op10_simhash_pivots": op10_simhash_pivots,
 }
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from liftgrid.llm import packing, sharding, simhash, urlfilter, warc
+from liftgrid.llm import packing, secretscan, sharding, simhash, urlfilter, warc
 from liftgrid.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,6 +90,28 @@ def op6_bin_slack(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_secret_field(spark: SparkSession, folder: str) -> DataFrame:
+    """All spans of secrets in every document."""
+    docs = table(spark, folder, "documents")
+    found = secretscan.scan(docs, "doc_id", "text", secretscan.fit(docs, "doc_id", "text"))
+    named = F.transform("spans", lambda s: F.concat_ws(":", s.kind, s.start, s.end))
+    base = F.transform(
+        F.filter("spans", lambda s: s.kind != "crf"), lambda s: F.concat_ws(":", s.kind, s.start, s.end)
+    )
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s.kind == kind)).cast("long")
+
+    return found.select(
+        "doc_id",
+        count("assign").alias("n_assign"),
+        count("access").alias("n_access"),
+        count("hex").alias("n_hex"),
+        F.sha2(F.array_join(base, ",").cast("binary"), 256).alias("base_sha256"),
+        F.array_join(named, ",").alias("spans"),
+    )
+
+
 def op10_simhash_pivots(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and near-duplicate group of every document."""
     found = simhash.near_duplicates(table(spark, folder, "documents"), "doc_id", "text", words=3, max_bits=2)
@@ -123,6 +145,7 @@ QUERIES: dict[str, Query] = {
     "op2_capture_index": op2_capture_index,
     "op5_wildcard_urls": op5_wildcard_urls,
     "op6_bin_slack": op6_bin_slack,
+    "op8_secret_field": op8_secret_field,
     "op10_simhash_pivots": op10_simhash_pivots,
 }
 

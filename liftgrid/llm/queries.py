@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from liftgrid.llm import packing, secretscan, sharding, simhash, urlfilter, warc
+from liftgrid.llm import packing, secretscan, sharding, simhash, suffixdedup, urlfilter, warc
 from liftgrid.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,7 +49,8 @@ def op2_capture_index(spark: SparkSession, folder: str) -> DataFrame:
     captures = warc.write_archives(pages, "page_id", "url", F.col("html").cast("binary"))
     index = warc.build_index(captures)
     wanted = pages.select(warc.surt(F.col("url")).alias("surt"), F.col("page_id").alias("k")).distinct()
-    return warc.read_records(warc.lookup(index, wanted)).select(
+    parts = warc.parts_for(captures)
+    return warc.read_records(warc.lookup(index, wanted, parts), parts).select(
         F.col("k").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to"
     )
 
@@ -70,6 +71,12 @@ FROM g
 """
 
 
+def op4_sparse_suffixes(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents without the bytes of repeated strings."""
+    found = suffixdedup.remove_repeats(table(spark, folder, "documents"), "doc_id", "text")
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op5_wildcard_urls(spark: SparkSession, folder: str) -> DataFrame:
     """The verdict on every page's URL."""
     return urlfilter.filter_urls(table(spark, folder, "pages"), "page_id", "url", RULES)
@@ -143,6 +150,7 @@ FROM parts p LEFT JOIN hits h USING (page_id)
 QUERIES: dict[str, Query] = {
     "op1_proportional_shards": op1_proportional_shards,
     "op2_capture_index": op2_capture_index,
+    "op4_sparse_suffixes": op4_sparse_suffixes,
     "op5_wildcard_urls": op5_wildcard_urls,
     "op6_bin_slack": op6_bin_slack,
     "op8_secret_field": op8_secret_field,

@@ -173,7 +173,13 @@ def _order(key: list) -> tuple[bytes, int]:
     return key[0].encode(), key[1]
 
 
-def lookup(index: list, wanted: DataFrame) -> DataFrame:
+def parts_for(captures: DataFrame, part_bytes: int = 64 << 20) -> int:
+    """Tasks for reading stored captures: they follow the archives' bytes, not those of the captures."""
+    least = int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, (captures.agg(F.sum("length")).first()[0] or 0) // part_bytes)
+
+
+def lookup(index: list, wanted: DataFrame, parts: int) -> DataFrame:
     """The captures of distinct ``(surt, k)`` pairs; pairs that the index lacks give no row.
 
     A pair that was captured more than once gives each capture. Null is the smallest ``k``.
@@ -224,11 +230,11 @@ def lookup(index: list, wanted: DataFrame) -> DataFrame:
                     names=["surt", "k", "archive", "offset", "length"],
                 )
 
-    ranged = wanted.select("surt", "k").repartitionByRange("surt", "k").sortWithinPartitions("surt", "k")
+    ranged = wanted.select("surt", "k").repartitionByRange(parts, "surt", "k").sortWithinPartitions("surt", "k")
     return ranged.mapInArrow(find, CAPTURE)
 
 
-def read_records(captures: DataFrame) -> DataFrame:
+def read_records(captures: DataFrame, parts: int) -> DataFrame:
     """``k, record_type, refers_to, payload, payload_bytes, payload_digest`` of each capture.
 
     A response whose payload doesn't have the digest or size that the record states is an error. A
@@ -269,7 +275,7 @@ def read_records(captures: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out.values(), types, strict=True)], names=list(out))
                 at = to
 
-    ranged = captures.select("k", "archive", "offset", "length").repartitionByRange("archive", "offset")
+    ranged = captures.select("k", "archive", "offset", "length").repartitionByRange(parts, "archive", "offset")
     return ranged.sortWithinPartitions("archive", "offset").mapInArrow(
         read, "k long, record_type string, refers_to long, payload binary, payload_bytes long, payload_digest string"
     )

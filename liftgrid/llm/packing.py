@@ -13,7 +13,9 @@ in buckets, and a piece's number says which repetition of which pattern it belon
 
 from __future__ import annotations
 
+import base64
 import re
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -28,45 +30,70 @@ from liftgrid.llm.sharding import bucket_count
 
 WINDOW = 2048
 #: Words whose ids a Python worker remembers before it starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 #: Characters of text that are turned into ids at once, so that memory follows this and the longest text.
 BATCH_CHARS = 4_000_000
 
 # The tokenizer never joins a space or line feed to visible text before it, so its ids for a text are
-# those of these parts, one after another. Other white space before one of the two would be joined.
+# those of the parts that begin there, one after another. Runs of white space stay in one part; other
+# white space before one of the two would be joined, so such a text is not cut.
 _PART = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 _JOINED = re.compile(r"[^\S \n][ \n]")
+_RUNS = ("  ", " \n", "\n ", "\n\n")
 
 
-class WordIds:
-    """Ids of texts by a tokenizer file, remembering the ids of words."""
+class WordIds(dict):
+    """Ids of texts by a tokenizer file, remembering those of words (a word follows a space, or
+    begins with the line feed it follows).
 
-    def __init__(self, path: str):
+    ``ranks`` is the same vocabulary as byte ranks. Words in Latin letters, where it has the same ids at
+    a fraction of the time, then go by it; all others by the tokenizer.
+    """
+
+    def __init__(self, path: str, ranks: str | None):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.words: dict[str, bytes] = {}
+        self.quick = None
+        if ranks:
+            import public_tokenizers
+            import tiktoken
+
+            with open(ranks, "rb") as lines:
+                table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+            self.quick = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+
+    def ids(self, part: str) -> bytes:
+        if self.quick is not None and (part.isascii() or max(part) < "\u0250"):
+            ids = self.quick.encode_ordinary(part)
+        else:
+            ids = self.tokenizer.encode(part, add_special_tokens=False).ids
+        return array("I", ids).tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        self[word] = ids = self.ids(word if word[:1] == "\n" else " " + word)
+        return ids
 
     def encode(self, text: str) -> np.ndarray:
-        parts = [text] if _JOINED.search(text) else _PART.findall(text)
-        words = self.words
-        if missing := {p for p in parts if p not in words}:
-            if len(words) + len(missing) > CACHE_WORDS:
-                words.clear()
-                missing = set(parts)
-            missing = list(missing)
-            for word, made in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-                words[word] = np.array(made.ids, dtype="<u4").tobytes()
-        return np.frombuffer(b"".join(map(words.__getitem__, parts)), dtype="<u4")
+        if _JOINED.search(text):
+            parts = [self.ids(text)]
+        elif any(r in text for r in _RUNS):
+            parts = map(self.ids, _PART.findall(text))
+        else:
+            first, *words = text.replace("\n", " \n").split(" ")
+            parts = [self.ids(first), *map(self.__getitem__, words)]
+        return np.frombuffer(b"".join(parts), dtype="<u4")
 
 
 @cache
-def _encoder(path: str) -> WordIds:
-    return WordIds(path)
+def _encoder(path: str, ranks: str | None) -> WordIds:
+    return WordIds(path, ranks)
 
 
-def pieces(df: DataFrame, key: str, text: str, tokenizer: str, end_id: int = 1, window: int = WINDOW) -> DataFrame:
+def pieces(df: DataFrame, key: str, text: str, tokenizer: str, ranks: str | None = None, end_id: int = 1, window: int = WINDOW) -> DataFrame:
     """``k, row, start, length, ids, doc_tokens``: windows of each text and its remainder.
 
     ``ids`` are little-endian 32-bit ids, the document's last being ``end_id``; a null text counts as
@@ -75,7 +102,7 @@ def pieces(df: DataFrame, key: str, text: str, tokenizer: str, end_id: int = 1,
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(tokenizer)
+        encoder = _encoder(tokenizer, ranks)
         names = ("k", "row", "start", "length", "ids", "doc_tokens")
         for batch in batches:
             out: list[list] = [[] for _ in names]
@@ -200,6 +227,12 @@ def sequences(packed: DataFrame, window: int = WINDOW) -> DataFrame:
     )
 
 
-def pack_documents(df: DataFrame, key: str, text: str, tokenizer: str, end_id: int = 1, window: int = WINDOW) -> DataFrame:
-    """Cut, store and pack all texts; the result has :func:`pieces` plus the placement."""
-    return pack(store(pieces(df, key, text, tokenizer, end_id, window), "pieces"), window)
+def pack_documents(df: DataFrame, key: str, text: str, tokenizer: str, ranks: str | None = None, end_id: int = 1, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """Cut, store and pack all texts: :func:`pieces` with ``ids_crc32`` for ``ids``, and the placement.
+
+    The ids stay in the stored table ``parts`` (first of the result), which the placement (second)
+    joins on ``k, row, start``; only narrow rows are shuffled for it.
+    """
+    parts = store(pieces(df, key, text, tokenizer, ranks, end_id, window), "pieces")
+    narrow = parts.select("k", "row", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
+    return parts, pack(narrow, window)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from liftgrid.llm import packing, secretscan, sharding, simhash, suffixdedup, urlfilter, warc
+from liftgrid.llm import packing, quality, secretscan, sharding, simhash, suffixdedup, urlfilter, warc
 from liftgrid.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,13 +84,13 @@ def op5_wildcard_urls(spark: SparkSession, folder: str) -> DataFrame:
 
 def op6_bin_slack(spark: SparkSession, folder: str) -> DataFrame:
     """All documents in windows of 2048 ids."""
-    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
-    packed = packing.pack_documents(table(spark, folder, "documents"), "doc_id", "text", tokenizer)
+    tokenizer, ranks = map(public_tokenizers.path, ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken"))
+    _, packed = packing.pack_documents(table(spark, folder, "documents"), "doc_id", "text", tokenizer, ranks)
     return packed.select(
         F.col("k").alias("doc_id"),
         "start",
         "length",
-        F.crc32("ids").alias("ids_crc32"),
+        "ids_crc32",
         "doc_tokens",
         "sequence_id",
         "offset",
@@ -119,6 +119,16 @@ def op8_secret_field(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+METADATA = ["lang", "source", "n_chars"]
+
+
+def op9_cotrained_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality and toxicity of every document, and whether it stays."""
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    models = quality.train(docs, labels, "doc_id", "text", METADATA)
+    return quality.judge(docs, models, "text", METADATA).select("doc_id", "p_quality", "p_toxic", "keep")
+
+
 def op10_simhash_pivots(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and near-duplicate group of every document."""
     found = simhash.near_duplicates(table(spark, folder, "documents"), "doc_id", "text", words=3, max_bits=2)
@@ -154,6 +164,7 @@ QUERIES: dict[str, Query] = {
     "op5_wildcard_urls": op5_wildcard_urls,
     "op6_bin_slack": op6_bin_slack,
     "op8_secret_field": op8_secret_field,
+    "op9_cotrained_quality": op9_cotrained_quality,
     "op10_simhash_pivots": op10_simhash_pivots,
 }
 

@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from liftgrid.session import checkpoint_dir, cut_lineage
@@ -51,6 +51,11 @@ def map_batches(
     return df.mapInArrow(run, schema)
 
 
+def uniform(seed: int, *columns: str | Column) -> Column:
+    """A number in [0, 1) that is a hash of the columns; a share of rows is those below it."""
+    return F.xxhash64(F.lit(seed), *columns) / F.lit(2.0**64) + 0.5
+
+
 def with_group_min(df: DataFrame, key: str, value: str, out: str, spread: list[str]) -> DataFrame:
     """Add the smallest ``value`` of each row's ``key`` as ``out``.
 

@@ -8,7 +8,8 @@ view may hand on a class only if its held-out labels at that confidence are righ
 view that cannot see a target (layout says little about toxicity) teaches nothing wrong. At the end
 a regression over both calibrated margins combines the views.
 
-Fitting uses bounded samples, chosen by hash (``LABELLED`` and ``POOL`` rows); all documents are scored.
+Fitting uses samples whose expected sizes are bounded (``LABELLED`` and ``POOL`` rows by a hash of the
+key); all documents are scored.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from liftgrid.llm.common import store
+from liftgrid.llm.common import store, uniform
 
 LABELLED, POOL = 20_000, 10_000
 ROUNDS = 2
@@ -157,13 +158,15 @@ def train(docs: DataFrame, labels: DataFrame, key: str, text: str, metadata: lis
     once = labels.where(F.col(key).isNotNull()).groupBy(key).agg(
         F.count("*").alias("_times"), *[F.first(t).alias(t) for t in TARGETS]
     ).where("_times = 1").drop("_times")
-    h = F.xxhash64(F.lit(9), F.col(key))
-    picked = once.orderBy(h).limit(LABELLED)
-    chosen = docs.join(F.broadcast(picked.select(F.col(key).alias("_key"), *[F.col(t).alias(f"_{t}") for t in TARGETS])), docs[key] == F.col("_key"))
+    share = LABELLED / max(1, once.count())
+    picked = once.where(uniform(9, key) < share).select(F.col(key).alias("_key"), *[F.col(t).alias(f"_{t}") for t in TARGETS])
+    chosen = docs.join(F.broadcast(picked), docs[key] == F.col("_key"))
     seen = views(chosen, text, metadata)
     fold = F.pmod(F.xxhash64(F.lit(10), F.col("row").getField(key)), F.lit(5))
     labelled = store(seen.select("words", "page", *[F.col("row").getField(f"_{t}").alias(t) for t in TARGETS], fold.alias("fold")), "labelled")
-    rest = docs.join(once.select(F.col(key).alias("_key")), docs[key] == F.col("_key"), "left_anti").orderBy(F.xxhash64(F.lit(9), F.col(key))).limit(POOL)
+    share = POOL / max(1, docs.count())
+    known = once.select(F.col(key).alias("_key")).where(uniform(11, "_key") < share)
+    rest = docs.where(uniform(11, key) < share).join(known, docs[key] == F.col("_key"), "left_anti")
     pool = store(views(rest, text, metadata).select("words", "page"), "pool")
     return {t: fit(labelled, pool, t) for t in TARGETS}
 

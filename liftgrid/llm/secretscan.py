@@ -22,10 +22,10 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from liftgrid.llm.common import map_batches
+from liftgrid.llm.common import map_batches, uniform
 
 # The base patterns, the lengths they need, and the order of kinds.
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -356,14 +356,21 @@ def training_windows(texts: list[str], around: int = 24) -> list[tuple[np.ndarra
 
 
 def fit(df: DataFrame, key: str, text: str, train_docs: int = 400) -> Model:
-    """Train on the ``train_docs`` documents with the smallest hashes that hold a base span, and on
-    as many of the others. Without any span the model tags nothing. Windows are trained on, not
+    """Train on about ``train_docs`` documents, drawn by hash, that hold a base span, and on as many
+    of the others. Without any span the model tags nothing. Windows are trained on, not
     whole texts, and the sample's texts of over 100,000 characters are passed over.
     """
-    rows = df.where(F.length(text) <= 100_000).select(F.col(text).alias("t"), F.xxhash64(F.lit(8), key, text).alias("h"))
-    hit = F.col("t").rlike(f"(?i:{ASSIGN})|{ACCESS}|[0-9a-f]{{{HEX_CHARS},}}")
-    texts = [r.t for r in rows.where(hit).orderBy("h").limit(train_docs).collect()]
-    plain = [r.t for r in rows.where(~hit).orderBy("h").limit(train_docs).collect()]
+    hit = F.col(text).rlike(f"(?i:{ASSIGN})|{ACCESS}|[0-9a-f]{{{HEX_CHARS},}}")
+    draw = uniform(8, key, text)
+    sizes = {r["hit"]: r["count"] for r in df.groupBy(hit.alias("hit")).count().collect()}
+
+    def sample(which: Column, count: int) -> list[str]:
+        share = train_docs / max(1, count)
+        picked = df.where(draw < share).where(which).where(F.length(text) <= 100_000)
+        return [r[0] for r in picked.select(text).limit(2 * train_docs).collect()]
+
+    texts = sorted(sample(hit, sizes.get(True, 0)))
+    plain = sorted(sample(~hit, sizes.get(False, 0)))
     windows = training_windows(texts)
     if not any(t.any() for _, t in windows):
         return train([])

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from liftgrid.llm import packing, quality, secretscan, sharding, simhash, suffixdedup, urlfilter, warc
+from liftgrid.llm import decontam, packing, quality, secretscan, sharding, simhash, suffixdedup, urlfilter, warc
 from liftgrid.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,6 +97,12 @@ def op6_bin_slack(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_latent_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold benchmark items, with the items."""
+    docs, benchmark = table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    return decontam.find_leaks(docs, "doc_id", "text", benchmark, "item_id", "text").select("doc_id", "item_id", "cosine", "share", "answer")
+
+
 def op8_secret_field(spark: SparkSession, folder: str) -> DataFrame:
     """All spans of secrets in every document."""
     docs = table(spark, folder, "documents")
@@ -163,6 +169,7 @@ QUERIES: dict[str, Query] = {
     "op4_sparse_suffixes": op4_sparse_suffixes,
     "op5_wildcard_urls": op5_wildcard_urls,
     "op6_bin_slack": op6_bin_slack,
+    "op7_latent_leaks": op7_latent_leaks,
     "op8_secret_field": op8_secret_field,
     "op9_cotrained_quality": op9_cotrained_quality,
     "op10_simhash_pivots": op10_simhash_pivots,

@@ -36,9 +36,9 @@ WINDOW, GRAM = 100, 32
 #: Bytes of text handled at once; a longer text is handled alone.
 CHUNK = 2_000_000
 #: Suffixes held before a task looks for equal stretches among them.
-HELD = 400_000
+HELD = 200_000
 #: Documents sampled for the splitters, and the suffixes a bucket should have.
-SAMPLE_DOCS, BUCKET = 2_000, 400_000
+SAMPLE_DOCS, BUCKET = 2_000, 200_000
 
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))

@@ -33,10 +33,12 @@ BLOCK_ITEMS = 20_000
 TERMS = 1 << 15
 #: Words of a passage, and between windows.
 PASSAGE, STRIDE = 32, 8
+#: Words that are searched at once.
+SEARCH_WORDS = 400_000
 #: Latent dimensions, and random ones that make them accurate.
 LATENT, RANK = 32, 40
 #: Latent cosine of a candidate; share of an item that makes a copy; share of item and answer of a paraphrase.
-COSINE, COPY, PARAPHRASE, ANSWER = 0.5, 0.8, 0.6, 0.6
+COSINE, COPY, PARAPHRASE, ANSWER = 0.4, 0.8, 0.6, 0.6
 
 _SPLIT = bytes.maketrans(bytes(c for c in range(128) if not chr(c).isalnum()), b" " * 66)
 
@@ -78,58 +80,91 @@ class Items:
         self.answers = [answer_words(t) for _, t in kept]
 
     def weigh(self, idf: np.ndarray, basis: np.ndarray) -> None:
-        self.idf = idf
         self.fold = (idf[:, None] * basis).astype(np.float32)
-        self.mass = np.array([idf[i].sum() for i in self.items])
+        self.weight = idf**2  # a term weighs as in the product of two TF-IDF rows
+        self.mass = np.array([self.weight[i].sum() for i in self.items])
         query = np.stack([self.fold[i].sum(axis=0) for i in self.items]) if self.items else np.zeros((0, basis.shape[1]))
         self.query = query / np.maximum(np.linalg.norm(query, axis=1, keepdims=True), 1e-12)
         blocks = np.array([-(-i.size // STRIDE) for i in self.items], int)
-        self.classes = [(int(n), np.flatnonzero((blocks == n) & (self.mass > 0))) for n in np.unique(blocks)]
-
-    def search(self, ids: np.ndarray) -> list[tuple[int, float, float, float, int]]:
-        """``(item, cosine, share, answer share, first word)`` of each item found in a document."""
-        blocks = -(-ids.size // STRIDE)
-        if not blocks:
+        self.classes = [self._class(int(n), np.flatnonzero((blocks == n) & (self.mass > 0))) for n in np.unique(blocks)]
+
+    def _class(self, size: int, members: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+        """Items of one size: their terms, padded with the term that weighs nothing, and weights."""
+        terms = np.zeros((members.size, size * STRIDE), np.int32)
+        for row, m in enumerate(members):
+            terms[row, : self.items[m].size] = self.items[m]
+        return size, members, terms, self.weight[terms].astype(np.float32)
+
+    def search(self, ids: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, float, float, float, int]]:
+        """``(document, item, cosine, share, answer share, first word)`` of each item found in
+        documents laid end to end."""
+        size_of = np.diff(np.r_[0, ends])
+        count = -(-size_of // STRIDE)
+        doc = np.repeat(np.arange(ends.size), count)
+        if not doc.size:
             return []
-        weight = self.idf[ids]
-        total = np.r_[0.0, np.cumsum(np.add.reduceat(weight, np.arange(0, ids.size, STRIDE)))]
-        found = []
-        for size, members in self.classes:
+        last = np.cumsum(count)[doc]  # blocks of STRIDE words, numbered over all documents
+        number = np.arange(doc.size) - (last - count[doc])
+        start = (ends - size_of)[doc] + number * STRIDE
+        stop = np.minimum(start + STRIDE, ends[doc])
+        total = np.r_[0.0, np.cumsum(np.add.reduceat(self.weight[ids], start))]
+        folded, near = None, {}
+        for size, members, terms, weights in self.classes:
             if not members.size:
                 continue
-            low = np.arange(max(1, blocks - size))
-            high = np.minimum(low + size + 1, blocks)  # one block more, as items start anywhere
-            dense = np.flatnonzero(total[high] - total[low] >= PARAPHRASE * self.mass[members].min())
-            if not dense.size:
+            least = PARAPHRASE * self.mass[members]
+            low = np.flatnonzero(number < np.maximum(1, count[doc] - size))
+            high = np.minimum(low + size + 1, last[low])  # one block more, as items start anywhere
+            mass = total[high] - total[low]
+            dense = mass >= least.min()
+            low, high, mass = low[dense], high[dense], mass[dense]
+            if not low.size:
                 continue
-            low, high = low[dense] * STRIDE, np.minimum(high[dense] * STRIDE, ids.size)
-            near: dict[int, list[tuple[int, int, float]]] = {}
-            for k in range(0, dense.size, 4096):
-                folded = np.stack([self.fold[ids[a:b]].sum(axis=0) for a, b in zip(low[k : k + 4096], high[k : k + 4096], strict=True)])
-                folded /= np.maximum(np.linalg.norm(folded, axis=1, keepdims=True), 1e-12)
-                cosine = folded @ self.query[members].T
-                enough = (total[high // STRIDE + (high % STRIDE > 0)] - total[low // STRIDE])[k : k + 4096, None]
-                for w, m in zip(*np.nonzero((cosine >= COSINE) & (enough >= PARAPHRASE * self.mass[members])), strict=True):
-                    near.setdefault(int(members[m]), []).append((int(low[k + w]), int(high[k + w]), float(cosine[w, m])))
-            for item, windows in near.items():
-                best = None
-                region: list = []
-                for a, b, c in windows:  # windows that touch are verified as one
-                    if region and a <= region[1]:
-                        region[1:] = [b, max(region[2], c)]
-                        continue
-                    best = self._better(best, item, ids, region)
-                    region = [a, b, c]
+            if folded is None:
+                folded = np.zeros((doc.size + 1, self.fold.shape[1]))
+                np.cumsum(np.add.reduceat(self.fold[ids], start, axis=0), axis=0, dtype=np.float64, out=folded[1:])
+            step = max(16, (1 << 23) // self.weight.size)
+            for k in range(0, low.size, step):
+                a, b = low[k : k + step], high[k : k + step]
+                latent = folded[b] - folded[a]
+                latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
+                cosine = latent @ self.query[members].T
+                w, m = np.nonzero((cosine >= COSINE) & (mass[k : k + step, None] >= least))
+                if not w.size:
+                    continue
+                # The words must be there, in whatever order, for a subsequence of them to be.
+                some, w_at = np.unique(w, return_inverse=True)
+                first = start[a[some]]
+                words = stop[b[some] - 1] - first
+                inside = np.arange(words.sum()) - np.repeat(np.cumsum(words) - words, words)
+                present = np.zeros((some.size, self.weight.size), bool)
+                present[np.repeat(np.arange(some.size), words), ids[np.repeat(first, words) + inside]] = True
+                for j in range(0, w.size, 1 << 15):
+                    v, n = w_at[j : j + (1 << 15)], m[j : j + (1 << 15)]
+                    there = np.einsum("ij,ij->i", present[v[:, None], terms[n]], weights[n]) >= least[n] * (1 - 1e-5)
+                    for at, n_ in zip((w[j : j + (1 << 15)])[there], n[there], strict=True):
+                        place = (int(start[a[at]]), int(stop[b[at] - 1]), float(cosine[at, n_]))
+                        near.setdefault((int(doc[a[at]]), int(members[n_])), []).append(place)
+        found = []
+        for (where, item), windows in sorted(near.items()):
+            best = None
+            region: list = []
+            for a, b, c in windows:  # windows that touch are verified as one
+                if region and a <= region[1]:
+                    region[1:] = [b, max(region[2], c)]
+                    continue
                 best = self._better(best, item, ids, region)
-                if best is not None:
-                    found.append(best)
+                region = [a, b, c]
+            best = self._better(best, item, ids, region)
+            if best is not None:
+                found.append((where, *best[:4], best[4] - int(ends[where] - size_of[where])))
         return found
 
     def _better(self, best: tuple | None, item: int, ids: np.ndarray, region: list) -> tuple | None:
         if not region:
             return best
         terms, here = self.items[item], ids[region[0] : region[1]]
-        weight = self.idf[terms]
+        weight = self.weight[terms]
         share = common_weight(terms, here, weight) / self.mass[item]
         if share < PARAPHRASE or (best is not None and best[2] >= share):
             return best
@@ -246,16 +281,16 @@ def find_leaks(docs: DataFrame, key: str, text: str, benchmark: DataFrame, item:
         items.weigh(idf, latent_basis(ids, idf))
 
         def work(batch: pa.RecordBatch, items: Items = items) -> dict[str, object] | None:
-            lists, who, found = batch.column(1), [], []
-            offsets = lists.offsets.to_numpy()
-            flat = lists.values.to_numpy()
-            for row in range(batch.num_rows):
-                hits = items.search(flat[offsets[row] : offsets[row + 1]])
-                who += [row] * len(hits)
-                found += hits
+            lists, found = batch.column(1), []
+            offsets, flat, low = lists.offsets.to_numpy(), lists.values.to_numpy(), 0
+            while low < batch.num_rows:  # some documents at once, a longer one alone
+                high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + SEARCH_WORDS, "right")) - 1)
+                ends = (offsets[low + 1 : high + 1] - offsets[low]).astype(np.int64)
+                found += [(low + f[0], *f[1:]) for f in items.search(flat[offsets[low] : offsets[high]], ends)]
+                low = high
             if not found:
                 return None
-            at, cosine, share, answer, word = zip(*found, strict=True)
+            who, at, cosine, share, answer, word = zip(*found, strict=True)
             keys = pa.array([items.keys[k] for k in at])
             return {"k": batch.column(0).take(pa.array(who)), "i": keys, "cosine": cosine, "share": share, "answer": answer, "word": word}
 

@@ -28,7 +28,7 @@ from liftgrid.llm.common import store, uniform
 LABELLED, POOL = 20_000, 10_000
 ROUNDS = 2
 #: Hashed words, and hashed values of each metadata column.
-WORDS, VALUES = 1 << 18, 64
+WORDS, VALUES = 1 << 16, 64
 #: Probability from which a view hands on a label, and the share that must be right on held-out rows.
 CONFIDENT, RIGHT = 0.95, 0.97
 #: Held-out labels needed to trust that share.

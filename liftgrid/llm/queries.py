@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from liftgrid.llm import decontam, packing, quality, secretscan, sharding, simhash, suffixdedup, urlfilter, warc
+from liftgrid.llm import decontam, embedgroups, packing, quality, secretscan, sharding, simhash, suffixdedup, urlfilter, warc
 from liftgrid.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,6 +71,12 @@ FROM g
 """
 
 
+def op3_multi_index(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and components of all embeddings at a cosine of 0.93 within a label."""
+    found = embedgroups.near_vectors(table(spark, folder, "embeddings"), "vec_id", "embedding", "label", least=0.93)
+    return found.select("vec_id", "n_links", F.col("component").alias("component_id"), "kept")
+
+
 def op4_sparse_suffixes(spark: SparkSession, folder: str) -> DataFrame:
     """All documents without the bytes of repeated strings."""
     found = suffixdedup.remove_repeats(table(spark, folder, "documents"), "doc_id", "text")
@@ -166,6 +172,7 @@ FROM parts p LEFT JOIN hits h USING (page_id)
 QUERIES: dict[str, Query] = {
     "op1_proportional_shards": op1_proportional_shards,
     "op2_capture_index": op2_capture_index,
+    "op3_multi_index": op3_multi_index,
     "op4_sparse_suffixes": op4_sparse_suffixes,
     "op5_wildcard_urls": op5_wildcard_urls,
     "op6_bin_slack": op6_bin_slack,

@@ -210,7 +210,8 @@ def inverse_frequency(ids: DataFrame, size: int) -> np.ndarray:
             if terms.size:
                 seen[0] += passage[-1] + 1
                 used = terms > 0
-                once = np.unique(passage[used] * size + terms[used])
+                once = np.sort(passage[used] * size + terms[used])
+                once = once[np.r_[True, once[1:] != once[:-1]]]
                 seen += np.bincount(once % size, minlength=size)
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_pydict({"term": at.astype(np.int32), "n": seen[at]})
@@ -240,7 +241,7 @@ def latent_basis(ids: DataFrame, idf: np.ndarray) -> np.ndarray:
                 t, p = terms[a:b], passage[a:b]
                 at = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
                 rows = np.add.reduceat(spread[t], at, axis=0)
-                order = np.argsort(t, kind="stable")
+                order = np.argsort(t.astype(np.uint16), kind="stable")  # fewer than 65,536: sorted by digits
                 place = (np.cumsum(np.r_[True, p[1:] != p[:-1]]) - 1)[order]
                 first = np.flatnonzero(np.r_[True, np.diff(t[order]) != 0])
                 out[t[order][first]] += np.add.reduceat(rows[place], first, axis=0)

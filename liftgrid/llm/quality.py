@@ -17,6 +17,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from itertools import pairwise
 
+import numpy as np
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -100,16 +101,33 @@ class Target:
 
 def _regression(df: DataFrame, features: str, strength: float, mix: float) -> LogisticRegressionModel:
     return LogisticRegression(
-        featuresCol=features, labelCol="label", regParam=strength, elasticNetParam=mix, maxIter=80, tol=1e-5, standardization=False
+        featuresCol=features, labelCol="label", regParam=strength, elasticNetParam=mix, maxIter=40, tol=1e-5, standardization=False
     ).fit(df)
 
 
+def _line(margins: np.ndarray, label: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    """Weights and intercept of a small regression of labels on one or two margins, by Newton steps."""
+    x = np.column_stack([margins, np.ones(len(label))])
+    w, hold = np.zeros(x.shape[1]), np.diag([*[ridge] * (x.shape[1] - 1), 1e-6])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x.T * (p * (1 - p) + 1e-9)) @ x + hold, x.T @ (label - p) - hold @ w)
+        w += step
+        if np.abs(step).max() < 1e-9:
+            break
+    return w
+
+
+def _margins(df: DataFrame, *names: str) -> tuple[np.ndarray, np.ndarray]:
+    """Margins and labels of the held-out rows, a bounded table."""
+    rows = df.select(*names, "label").toPandas()
+    return rows[list(names)].to_numpy(), rows["label"].to_numpy()
+
+
 def _fit_view(train: DataFrame, held: DataFrame, column: str) -> View:
     strength, mix = (1e-4, 0.9) if column == "words" else (1e-4, 0.0)
     view = View(column, _regression(train, column, strength, mix), 1.0, 0.0)
-    line = VectorAssembler(inputCols=["m"], outputCol="f").transform(view.logit(held, "m"))
-    fitted = _regression(line, "f", 1e-3, 0.0)
-    view.slope, view.shift = float(fitted.coefficients[0]), float(fitted.intercept)
+    view.slope, view.shift = _line(*_margins(view.logit(held, "m"), "m")).tolist()
     return view
 
 
@@ -146,8 +164,8 @@ def fit(labelled: DataFrame, pool: DataFrame, target: str) -> Target | None:
             extra = _handed(made[giver], held, pool)
             train[taker] = own if extra is None else own.union(extra)
     both = made["page"].logit(made["words"].logit(held, "a"), "b")
-    final = _regression(VectorAssembler(inputCols=["a", "b"], outputCol="f").transform(both), "f", 1e-3, 0.0)
-    return Target((made["words"], made["page"]), (float(final.coefficients[0]), float(final.coefficients[1])), float(final.intercept))
+    first, second, shift = _line(*_margins(both, "a", "b")).tolist()
+    return Target((made["words"], made["page"]), (first, second), shift)
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str, text: str, metadata: list[str]) -> dict[str, Target | None]:

@@ -211,7 +211,7 @@ def inverse_frequency(ids: DataFrame, size: int) -> np.ndarray:
                 seen[0] += passage[-1] + 1
                 used = terms > 0
                 once = np.sort(passage[used] * size + terms[used])
-                once = once[np.r_[True, once[1:] != once[:-1]]]
+                once = once[np.r_[True, once[1:] != once[:-1]][: once.size]]
                 seen += np.bincount(once % size, minlength=size)
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_pydict({"term": at.astype(np.int32), "n": seen[at]})

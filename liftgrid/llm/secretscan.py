@@ -55,7 +55,7 @@ _CLASS[10] = _LINE
 _CLASS[48:58], _CLASS[97:123], _CLASS[65:91], _CLASS[128] = _DIGIT, _LOWER, _UPPER, _OTHER
 _CLASS[[ord(c) for c in "+/_-."]] = _SIGN
 
-SIZES = (12, 32, 36, 144, 24, WORDS, WORDS, WORDS, WORDS, 6, 5)
+SIZES = (12, 32, 36, 144, 24, WORDS, WORDS, WORDS, WORDS, 6, 5, 32)
 #: The features that training hides at random: the words.
 HIDDEN = (5, 6, 7, 8)
 
@@ -135,7 +135,8 @@ def tokenize(codes: np.ndarray, file: np.ndarray) -> Tokens:
     share = _bucket(digits * 6 // np.maximum(size, 1), 6) * 6 + _bucket(upper * 6 // np.maximum(size, 1), 6)
     change = _bucket(turns * 12 // np.maximum(size, 1), 12) * 12 + length
     pure = np.where(hexes == size, length, 12 + length)
-    features = np.stack([length, mask, share, change, pure, own, near(-1), near(-2), near(1), file[0][start], file[1][start]])
+    coarse = _bucket(size // 10, 4) * 8 + 4 * (digits > 1) + 2 * (turns > 3) + (lower * upper > 0)
+    features = np.stack([length, mask, share, change, pure, own, near(-1), near(-2), near(1), file[0][start], file[1][start], coarse])
     return Tokens(start, end, line, features.astype(np.int32))
 
 

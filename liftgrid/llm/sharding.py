@@ -42,12 +42,13 @@ def interleave(
     Shard sizes differ by one row at most; slots of a shard are gapless from 0. ``order`` names
     the columns that tell rows apart: the shuffle is a hash of them, and ties in it are settled
     by their values. Rows alike in all of them are interchangeable. A null source is a source of
-    its own, an empty table gives an empty result, and no column of ``df`` can clash.
+    its own, an empty table gives an empty result, and no column of
+    ``df`` can clash; its own ``shard`` and ``slot`` are replaced.
     """
     if shards < 1:
         raise ValueError("shards must be positive")
     rows = df.select(
-        F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"),
+        F.struct(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in ("shard", "slot")]).alias("_row"),
         F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit("n")).alias("_source"),
         F.struct(*order).alias("_order"),
         F.xxhash64(F.lit(seed), *order).alias("_hash"),

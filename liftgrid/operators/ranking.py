@@ -45,6 +45,16 @@ def ordered_score(score: str | Column) -> Column:
     return F.coalesce(F.nanvl(col, F.lit(None).cast("double")), F.lit(float("-inf"))) + F.lit(0.0)
 
 
+def match(left: DataFrame, right: DataFrame, groups: Sequence[str], on: Sequence[str] = (), how: str = "inner") -> DataFrame:
+    """Join on group keys, where null is a group like any other, and on plain columns.
+
+    The result has each key once.
+    """
+    names = {k: f"_right_{k}" for k in (*groups, *on)}
+    same = [F.col(k).eqNullSafe(F.col(names[k])) for k in groups] + [F.col(k) == F.col(names[k]) for k in on]
+    return left.join(right.withColumnsRenamed(names), same, how).drop(*names.values())
+
+
 def rank_order(unit_id: str) -> list[Column]:
     return [F.col(SCORE).desc(), F.col(unit_id).asc()]
 
@@ -208,7 +218,7 @@ def running_totals(
     local = {"_local__rows": F.row_number().over(here).cast("bigint")} | {
         f"_local_{n}": F.sum(c).over(upto) for n, c in sums.items() if n != "_rows"
     }
-    joined = placed.withColumns(local).join(totals, [*groups, BUCKET])
+    joined = match(placed.withColumns(local), totals, groups, [BUCKET])
     out = joined.withColumns(
         {
             "rank": F.col("_before__rows") + F.col("_local__rows"),
@@ -250,11 +260,16 @@ def rows_at_ranks(
     pick = hits.select(*groups, BUCKET).distinct()
     here = Window.partitionBy(*groups, BUCKET).orderBy(*(order or rank_order(unit_id)))
     inside = (
-        placed.select(*dict.fromkeys([*groups, BUCKET, unit_id, *carry]))
-        .join(small(pick, hits), [*groups, BUCKET], "left_semi")
+        match(
+            placed.select(*dict.fromkeys([*groups, BUCKET, unit_id, *carry])),
+            small(pick, hits),
+            groups,
+            [BUCKET],
+            "left_semi",
+        )
         .withColumn("_local", F.row_number().over(here).cast("bigint"))
     )
-    found = inside.join(small(hits, hits), [*groups, BUCKET, "_local"])
+    found = match(inside, small(hits, hits), groups, [BUCKET, "_local"])
     return settled(found.select(*groups, "cut", "n", "at", unit_id, *carry))
 
 
@@ -313,7 +328,7 @@ def within_cuts(
             {c: above(at(c, score, score_type), at(c, unit_id, unit_type)) for c in names}
         )
     wide = _cuts_by_group(cut_rows, groups, names, score, unit_id)
-    joined = df.join(small(wide, wide), list(groups), "left")
+    joined = match(df, small(wide, wide), groups, how="left")
     flags = {c: above(F.col(f"_cut_score_{c}"), F.col(f"_cut_unit_{c}")) for c in names}
     return joined.withColumns(flags).drop(*[c for c in wide.columns if c not in groups])
 
@@ -358,9 +373,12 @@ def exact_percentiles(
 ) -> DataFrame:
     """``(*groups, n, prob, value)``: exact percentiles, linear between order statistics.
 
-    Unlike the built-in exact aggregate it holds no value table in memory.
+    Unlike the built-in exact aggregate it holds no value table in memory. Null and NaN values are
+    left out, as is a group that has no others; ``n`` counts the values that are there.
     """
-    placed = bucketed(df, value, unit_id, rows_per_bucket)
+    column = (F.col(value) if isinstance(value, str) else value).cast("double")
+    present = df.where(column.isNotNull() & ~F.isnan(column))
+    placed = bucketed(present, value, unit_id, rows_per_bucket)
     n = F.col("n")
     ranks = {}
     for i, p in enumerate(probs):
@@ -376,5 +394,8 @@ def exact_percentiles(
         F.max(F.when(F.col("_side") == "low", F.col(SCORE))).alias("_low"),
         F.max(F.when(F.col("_side") == "high", F.col(SCORE))).alias("_high"),
     )
-    value_at = F.col("_low") + (F.col("_high") - F.col("_low")) * (position - F.floor(position))
+    weight = position - F.floor(position)
+    between = F.col("_low") + (F.col("_high") - F.col("_low")) * weight
+    # Infinite neighbours have no difference to share out.
+    value_at = F.when((weight == 0) | (F.col("_low") == F.col("_high")), F.col("_low")).otherwise(between)
     return pair.select(*groups, "n", prob.alias("prob"), value_at.alias("value"))

@@ -59,7 +59,7 @@ def pseudo_assignment(
 def allocate(sizes: Mapping[Stratum, int], draws: int) -> dict[Stratum, int]:
     """Divide ``draws`` over strata in proportion to size, by largest remainder.
 
-    Equal remainders go to the stratum that sorts first.
+    Equal remainders go to the stratum that sorts first, null before any value.
     """
     total = sum(sizes.values())
     if not 0 <= draws <= total:
@@ -68,7 +68,7 @@ def allocate(sizes: Mapping[Stratum, int], draws: int) -> dict[Stratum, int]:
         return dict(sizes)
     given = {s: draws * n // total for s, n in sizes.items()}
     left = draws - sum(given.values())
-    by_remainder = sorted(sizes, key=lambda s: (-(draws * sizes[s] % total), s))
+    by_remainder = sorted(sizes, key=lambda s: (-(draws * sizes[s] % total), [(v is not None, v) for v in s]))
     for s in by_remainder[:left]:
         given[s] += 1
     return given

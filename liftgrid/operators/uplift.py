@@ -25,15 +25,17 @@ from liftgrid.spec import ExperimentSpec
 DECILES = 10
 
 
+def binary(column: str | Column) -> Column:
+    """The column as 0 or 1; any other value raises, since sums of it would be cut to integers."""
+    col = F.col(column) if isinstance(column, str) else column
+    other = F.raise_error(F.concat(F.lit("outcome or treatment outside 0 and 1: "), col.cast("string")))
+    return F.when(col.isNull() | col.isin(0, 1), col.cast("bigint")).otherwise(other.cast("bigint"))
+
+
 def arm_sums(spec: ExperimentSpec, outcome: str | None = None) -> dict[str, Column]:
     """The four sums every ranking metric is made of."""
-    t, y = F.col(spec.treatment), F.col(outcome or spec.primary_outcome)
-    return {
-        "t": t.cast("bigint"),
-        "c": (1 - t).cast("bigint"),
-        "yt": (y * t).cast("bigint"),
-        "yc": (y * (1 - t)).cast("bigint"),
-    }
+    t, y = binary(spec.treatment), binary(outcome or spec.primary_outcome)
+    return {"t": t, "c": 1 - t, "yt": y * t, "yc": y * (1 - t)}
 
 
 def lift(t: Column, c: Column, yt: Column, yc: Column) -> Column:
@@ -85,13 +87,13 @@ def ranking_metrics(
     """
     y = outcome or spec.primary_outcome
     curve = uplift_curve(df, spec, score, y, groups, rows_per_bucket)
-    t, outcome_col, s = F.col(spec.treatment), F.col(y), F.col(score).cast("double")
+    t, outcome_col, s = binary(spec.treatment), binary(y), F.col(score).cast("double")
     inside = {f"_k{i}": F.col("rank") <= F.floor(F.col("n") * F.lit(float(k))) for i, k in enumerate(ks)}
     cells = {
-        "t": t.cast("bigint"),
-        "c": (1 - t).cast("bigint"),
-        "yt": (outcome_col * t).cast("bigint"),
-        "yc": (outcome_col * (1 - t)).cast("bigint"),
+        "t": t,
+        "c": 1 - t,
+        "yt": outcome_col * t,
+        "yc": outcome_col * (1 - t),
     }
     by_decile = curve.withColumn("_decile", decile_of(F.col("rank"), F.col("n"))).groupBy(
         *groups, "_decile"

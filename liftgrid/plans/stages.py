@@ -36,7 +36,7 @@ from liftgrid.sources import tables
 from liftgrid.spec import ExperimentSpec
 
 MODELS = ("t_learner", "x_learner", "causal_forest", "dual_head")
-FOREST_UNITS = 500_000
+FOREST_UNITS = None  # all training units; a number draws a stratified subsample of that size
 
 
 @dataclass(frozen=True)

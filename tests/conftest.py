@@ -48,12 +48,12 @@ def units(spark, folder):
 
 @pytest.fixture
 def two_arm_frame(spark):
-    """400 units: f0 alike in both arms, f1 far apart, outcomes at fixed intervals."""
+    """420 units: f0 alike in both arms, f1 far apart, more successes among the treated."""
     rows = []
-    for arm, base, visit, conversion in ((1, 1.0, 10, 50), (0, 10.0, 20, 100)):
-        for i in range(200):
-            shift = (i % 3) * 0.01
-            rows.append((f"{arm}-{i:03d}", 5.0 + shift, base + shift, arm, int(i % visit == 0), int(i % conversion == 0)))
+    for arm, centre, visit, conversion in ((1, -2.0, 7, 42), (0, 3.5, 14, 70)):
+        for i in range(210):
+            shift = 0.03 * ((i * 5) % 7)
+            rows.append((f"{arm}-{i:03d}", 2.0 + shift, centre + shift, arm, int(i % visit == 3), int(i % conversion == 3)))
     return spark.createDataFrame(
         rows, "unit_id string, f0 double, f1 double, treatment int, visit int, conversion int"
     )

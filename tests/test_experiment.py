@@ -74,7 +74,7 @@ def test_counts_and_direction(two_arm_frame, small_spec):
     counts = abtest.arm_counts(two_arm_frame, small_spec)
     got = {r["outcome"]: r for r in abtest.experiment_report(counts).collect()}
     visit = got["visit"]
-    assert (visit["n1"], visit["x1"], visit["n0"], visit["x0"]) == (200, 20, 200, 10)
+    assert (visit["n1"], visit["x1"], visit["n0"], visit["x0"]) == (210, 30, 210, 15)
     assert visit["p_treatment"] > visit["p_control"] and visit["absolute_lift"] > 0
     assert 0 <= visit["p_value"] <= 1
     assert got["conversion"]["mde_absolute"] > 0 and got["conversion"]["baseline_control_rate"] >= 0
@@ -94,7 +94,7 @@ def test_zero_base_rate(two_arm_frame, small_spec):
 
 
 def test_quality_report(two_arm_frame, small_spec):
-    expected = {"treatment": 0.5, "visit": 0.075, "conversion": 0.015}
+    expected = {"treatment": 0.5, "visit": 0.107, "conversion": 0.019}
     clean = quality.select_contract(two_arm_frame, small_spec)
     assert quality.quality_report(clean, small_spec, expected).first()["all_passed"] is True
     holes = clean.withColumn("f0", F.when(F.rand(1) < 0.5, F.col("f0")))

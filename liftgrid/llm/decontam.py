@@ -36,7 +36,7 @@ PASSAGE, STRIDE = 32, 8
 #: Words that are searched at once.
 SEARCH_WORDS = 400_000
 #: Latent dimensions, and random ones that make them accurate.
-LATENT, RANK = 32, 40
+LATENT, RANK = 24, 32
 #: Latent cosine of a candidate; share of an item that makes a copy; share of item and answer of a paraphrase.
 COSINE, COPY, PARAPHRASE, ANSWER = 0.4, 0.8, 0.6, 0.6
 
@@ -108,7 +108,7 @@ class Items:
         start = (ends - size_of)[doc] + number * STRIDE
         stop = np.minimum(start + STRIDE, ends[doc])
         total = np.r_[0.0, np.cumsum(np.add.reduceat(self.weight[ids], start))]
-        folded, near = None, {}
+        plans, edges = [], np.zeros(doc.size + 1, np.int64)
         for size, members, terms, weights in self.classes:
             if not members.size:
                 continue
@@ -117,12 +117,22 @@ class Items:
             high = np.minimum(low + size + 1, last[low])  # one block more, as items start anywhere
             mass = total[high] - total[low]
             dense = mass >= least.min()
-            low, high, mass = low[dense], high[dense], mass[dense]
-            if not low.size:
-                continue
-            if folded is None:
-                folded = np.zeros((doc.size + 1, self.fold.shape[1]))
-                np.cumsum(np.add.reduceat(self.fold[ids], start, axis=0), axis=0, dtype=np.float64, out=folded[1:])
+            if dense.any():
+                plans.append((members, terms, weights, least, low[dense], high[dense], mass[dense]))
+                np.add.at(edges, low[dense], 1)
+                np.add.at(edges, high[dense], -1)
+        if not plans:
+            return []
+        # Only blocks of windows that are still in are folded; the others count as zero.
+        folded = np.zeros((doc.size + 1, self.fold.shape[1]))
+        needed = np.flatnonzero(np.cumsum(edges[:-1]) > 0)
+        words = stop[needed] - start[needed]
+        first = np.cumsum(words) - words
+        inside = np.arange(words.sum()) - np.repeat(first, words)
+        folded[needed + 1] = np.add.reduceat(self.fold[ids[np.repeat(start[needed], words) + inside]], first, axis=0)
+        np.cumsum(folded, axis=0, out=folded)
+        near: dict[tuple[int, int], list] = {}
+        for members, terms, weights, least, low, high, mass in plans:
             step = max(16, (1 << 23) // self.weight.size)
             for k in range(0, low.size, step):
                 a, b = low[k : k + step], high[k : k + step]
@@ -236,8 +246,8 @@ def latent_basis(ids: DataFrame, idf: np.ndarray) -> np.ndarray:
             terms, passage = _flat(batch)
             used = terms > 0
             terms, passage = terms[used], passage[used]
-            for a in range(0, terms.size, 1 << 20):
-                b = min(terms.size, a + (1 << 20))  # a passage cut here counts as two
+            for a in range(0, terms.size, 1 << 18):
+                b = min(terms.size, a + (1 << 18))  # a passage cut here counts as two
                 t, p = terms[a:b], passage[a:b]
                 at = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
                 rows = np.add.reduceat(spread[t], at, axis=0)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from liftgrid.catalog.queries import REPLICATES
+from liftgrid.catalog.queries import PLACEBO_DRAWS, REPLICATES
 from liftgrid.functions.hashing import POISSON_ONE_CUTS
 from liftgrid.functions.normal import detectable_shift
 from liftgrid.operators.abtest import Z_95
@@ -392,7 +392,7 @@ def oracle() -> dict[str, str]:
         ),
         "bootstrap_means": with_(
             SCORED, *weight_ctes("e"),
-            select="""SELECT model, replicate, CAST(sum(w) AS BIGINT) AS n, round(sum(w * tau) / sum(w), 8) AS mean
+            select="""SELECT model, replicate, CAST(sum(w) AS BIGINT) AS n, round(sum(w * tau) / sum(w), 6) AS mean
               FROM scored JOIN weights USING (unit_id) GROUP BY ALL""",
         ),
         "evaluation_report": with_(
@@ -493,7 +493,7 @@ def oracle() -> dict[str, str]:
               round(avg(t * y), 8) AS ty, round(avg(t * t), 8) AS tt FROM r GROUP BY tree, leaf""",
         ),
         "placebo_verdict": with_(
-            "p AS (SELECT unit_id, (f5 - 25.5) / 1000 AS tau FROM e WHERE treatment = 0)", *weight_ctes("p"),
+            "p AS (SELECT unit_id, (f5 - 25.5) / 1000 AS tau FROM e WHERE treatment = 0)", *weight_ctes("p", PLACEBO_DRAWS),
             "means AS (SELECT replicate, sum(w * tau) / sum(w) AS m FROM p JOIN weights USING (unit_id) GROUP BY replicate)",
             "ci AS (SELECT quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM means)",
             "s AS (SELECT count(*) AS n, avg(tau) AS mean, stddev_pop(tau) AS std FROM p)",

@@ -46,7 +46,8 @@ from liftgrid.session import checkpoint_dir
 from liftgrid.sources import tables
 from liftgrid.sources.testbed import SPEC, experiment
 
-REPLICATES = 8
+REPLICATES = 200
+PLACEBO_DRAWS = 1000
 Query = Callable[[SparkSession, str], DataFrame]
 R = TypeVar("R")
 
@@ -306,7 +307,7 @@ def bootstrap_interval_full(spark: SparkSession, folder: str) -> DataFrame:
 
 def bootstrap_means(spark: SparkSession, folder: str) -> DataFrame:
     m = bootstrap.bootstrap_means(scored(spark, folder), "unit_id", "tau", ["model"], REPLICATES)
-    return m.withColumn("mean", F.round("mean", 8))
+    return m.withColumn("mean", F.round("mean", 6))
 
 
 def evaluation_report(spark: SparkSession, folder: str) -> DataFrame:
@@ -491,7 +492,7 @@ def placebo_test(spark: SparkSession, folder: str) -> DataFrame:
     train = splits(spark, folder).where(F.col("split") == "train")
     scores = placebo.placebo_scores(train, SPEC, "visit", BoostParams(rounds=5, depth=3, step=0.2, min_leaf=20))
     real = abtest.average_effect(units(spark, folder), SPEC, "visit").first()[0]
-    return placebo.placebo_verdict(scores, "unit_id", real, 200)
+    return placebo.placebo_verdict(scores, "unit_id", real, PLACEBO_DRAWS)
 
 
 def placebo_verdict(spark: SparkSession, folder: str) -> DataFrame:
@@ -499,7 +500,7 @@ def placebo_verdict(spark: SparkSession, folder: str) -> DataFrame:
     controls = quality.arm_rows(units(spark, folder), SPEC, 0)
     scores = controls.select("unit_id", ((F.col("f5") - 25.5) / 1000).alias("tau"))
     real = abtest.average_effect(units(spark, folder), SPEC).first()[0]
-    return placebo.placebo_verdict(scores, "unit_id", real, REPLICATES)
+    return placebo.placebo_verdict(scores, "unit_id", real, PLACEBO_DRAWS)
 
 
 def control_pool(spark: SparkSession, folder: str) -> DataFrame:

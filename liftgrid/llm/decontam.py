@@ -201,9 +201,12 @@ def numbered(docs: DataFrame, key: str, text: str, items: Items) -> DataFrame:
     terms = items.terms
 
     def work(batch: pa.RecordBatch) -> dict[str, object]:
-        found = [words_of(t.as_py()) for t in batch.column(1)]
-        size = np.cumsum([0, *map(len, found)])
-        flat = np.fromiter((n for f in found for n in map(terms.get, f, repeat(0))), np.int32, int(size[-1]))
+        parts = []
+        for t in batch.column(1):  # words of one document at a time are held
+            found = words_of(t.as_py())
+            parts.append(np.fromiter(map(terms.get, found, repeat(0)), np.int32, len(found)))
+        size = np.cumsum([0, *(p.size for p in parts)])
+        flat = np.concatenate(parts)
         return {"k": batch.column(0), "ids": pa.ListArray.from_arrays(pa.array(size, pa.int32()), pa.array(flat))}
 
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))

@@ -29,8 +29,8 @@ from liftgrid.llm.common import store
 from liftgrid.llm.sharding import bucket_count
 
 WINDOW = 2048
-#: Words whose ids a Python worker remembers before it starts anew.
-CACHE_WORDS = 800_000
+#: Words whose ids a task remembers before it starts anew.
+CACHE_WORDS = 600_000
 #: Characters of text that are turned into ids at once, so that memory follows this and the longest text.
 BATCH_CHARS = 4_000_000
 
@@ -120,6 +120,7 @@ def pieces(df: DataFrame, key: str, text: str, tokenizer: str, ranks: str | None
                     out, chars = [[] for _ in names], 0
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f) for c, f in zip(out, kinds, strict=True)], names=list(names))
+        encoder.clear()  # the worker lives on, for tasks of other kinds too
 
     rows = df.select(F.col(key).alias("k"), F.xxhash64(key, text).alias("row"), F.col(text).alias("t"))
     kinds = [to_arrow_type(rows.schema["k"].dataType), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]

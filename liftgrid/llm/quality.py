@@ -75,8 +75,8 @@ def views(texts: list[str | None], metadata: list[list]) -> Rows:
         text = text or ""
         found, signs = words_of(text), _SIGNS.findall(text)
         different = {*found, *(s.encode("utf-8", "surrogatepass") for s in signs)}
-        words += [zlib.crc32(w) % WORDS for w in different]
-        ends.append(len(words))
+        words.append(np.fromiter(map(zlib.crc32, different), np.int64, len(different)) % WORDS)
+        ends.append(len(different))
         data = text.encode("utf-8", "surrogatepass")
         size = max(1, len(data))
         page[k, :LAYOUT] = (
@@ -92,7 +92,7 @@ def views(texts: list[str | None], metadata: list[list]) -> Rows:
     for c, values in enumerate(metadata):
         at = [zlib.crc32(str(v).encode("utf-8", "surrogatepass")) % VALUES for v in values]
         page[np.arange(len(texts)), LAYOUT + c * VALUES + np.array(at, int)] = 1
-    return Rows(np.array(words, np.int64), np.array(ends, np.int64), page)
+    return Rows(np.concatenate(words or [np.zeros(0, np.int64)]), np.cumsum(ends, dtype=np.int64), page)
 
 
 def _adam(w: np.ndarray, gradient, steps: int, rate: float) -> np.ndarray:  # noqa: ANN001

@@ -50,7 +50,11 @@ def surt(url: Column) -> Column:
 
 
 def payload_digest(payload: bytes) -> str:
-    return base64.b32encode(hashlib.sha1(payload).digest()).decode()
+    return _base32(hashlib.sha1(payload).hexdigest())
+
+
+def _base32(digest: str) -> str:
+    return base64.b32encode(bytes.fromhex(digest)).decode()
 
 
 def _clean(value: str) -> str:
@@ -94,24 +98,23 @@ def write_archives(df: DataFrame, key: str, url: str, payload: Column, min_bytes
     folder = pyarrow_uri(scratch(spark, "warc"))
     rows = df.select(
         F.col(key).cast("long").alias("k"), F.col(url).alias("url"), F.coalesce(payload, F.lit(b"")).alias("payload")
-    )
-    sums = rows.select(
-        "k", F.sha1("payload").alias("digest"), F.length("payload").alias("size"), F.xxhash64("k", "url").alias("row")
-    )
+    ).withColumn("digest", F.sha1("payload"))
+    sums = rows.select("k", "digest", F.length("payload").alias("size"), F.xxhash64("k", "url").alias("row"))
     first = with_group_min(sums.where(F.col("size") >= min_bytes), "digest", "k", "first", ["row"])
-    revisits = first.where("k IS NOT NULL AND first < k").select("k", "first").distinct()
-    surts = rows.withColumn("surt", surt(F.col("url"))).join(revisits, "k", "left")
+    # Rows of one key may differ in payload. No revisit has a null key, and no digest is null.
+    revisits = first.where("k IS NOT NULL AND first < k").select("k", "digest", "first").distinct()
+    surts = rows.withColumn("surt", surt(F.col("url"))).join(revisits, ["k", "digest"], "left")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         name = f"{folder}/part-{context.partitionId():05d}-{uuid.uuid4().hex}.warc.gz"
         out, place = None, 0
         for batch in batches:
-            k, urls, payloads, keys, refers = (batch.column(i).to_pylist() for i in range(5))
+            k, urls, payloads, digests, keys, refers = (batch.column(i).to_pylist() for i in range(6))
             offsets, lengths = [], []
-            for a, u, p, r in zip(k, urls, payloads, refers, strict=True):
+            for a, u, p, d, r in zip(k, urls, payloads, digests, refers, strict=True):
                 kind = "response" if r is None or len(p) < min_bytes else "revisit"
-                data = zlib.compress(record(kind, a, u, r, p, len(p), payload_digest(p), date), 6, 31)
+                data = zlib.compress(record(kind, a, u, r, p, len(p), _base32(d), date), 6, 31)
                 if out is None:
                     system, path = pafs.FileSystem.from_uri(name)
                     system.create_dir(path.rpartition("/")[0], recursive=True)
@@ -126,7 +129,7 @@ def write_archives(df: DataFrame, key: str, url: str, payload: Column, min_bytes
         if out is not None:
             out.close()
 
-    return store(surts.select("k", "url", "payload", "surt", "first").mapInArrow(write, CAPTURE), "captures")
+    return store(surts.select("k", "url", "payload", "digest", "surt", "first").mapInArrow(write, CAPTURE), "captures")
 
 
 def build_index(captures: DataFrame) -> list[tuple[str, str, str, int]]:

@@ -140,6 +140,22 @@ def test_archives_round_trip(spark):
     assert warc.lookup(warc.build_index(nothing), missing, 2).count() == 0
 
 
+def test_repeated_key_with_other_payloads(spark):
+    rows = [(1, "A"), (2, "B"), (5, "A"), (5, "B"), (5, "C"), (5, "C"), (None, "A"), (None, "D")]
+    pages = spark.createDataFrame(rows, "page_id long, html string").withColumn("url", F.lit("http://a/"))
+    captures = warc.write_archives(pages, "page_id", "url", F.col("html").cast("binary"))
+    index, parts = warc.build_index(captures), warc.parts_for(captures)
+    wanted = pages.select(warc.surt(F.col("url")).alias("surt"), F.col("page_id").alias("k")).distinct()
+    got = warc.read_records(warc.lookup(index, wanted, parts), parts).where("k IS NOT NULL").collect()
+    stated = [(r.k, r.payload_digest, r.record_type, r.refers_to) for r in got]
+    digest = {p: warc.payload_digest(p.encode()) for p in "ABC"}
+    assert Counter(stated) == Counter(
+        [(1, digest["A"], "response", None), (2, digest["B"], "response", None), (5, digest["A"], "revisit", 1), (5, digest["B"], "revisit", 2)]
+        + [(5, digest["C"], "response", None)] * 2
+    )
+    assert {bytes(r.payload) for r in got if r.record_type == "response"} == {b"A", b"B", b"C"}
+
+
 # 3
 
 

@@ -3,18 +3,22 @@
 Vectors are cut in halves with an independent codebook each; the product of the codebooks is a grid
 of cells, and a vector's home is the cell of its nearest codewords. A query visits cells in the order
 of the summed distances of its halves to their codewords (the multi-sequence order). How many it visits
-is calibrated: sampled queries are compared with all rows by brute force, and the number
-is the smallest at which they would meet the target share of their links, on average over queries and over
-links. What is met is verified by the cosine in double precision.
+is calibrated: sampled queries are compared with all rows by brute force, and neighbours at exactly the
+threshold are planted around them, in random directions and towards other rows. The number is the
+smallest at which the target share is met of each: of their links, on average over queries and over
+links, and of both kinds of planted neighbours. It so holds where links are too rare for a sample to have any.
+What is met is verified by the cosine in double precision.
 
 Codebooks and queries are fitted on samples of bounded size (``SAMPLE``, ``QUERIES``); every row is
-indexed. Equal vectors of a label are one member with a count. A cell with many members is cut into
+indexed. Vectors of different lengths have no cosine: each length has a grid of its own. Equal vectors of a
+label are one member with a count. A cell with many members is cut into
 a grid of chunks of members and visitors, so no task takes a hot cell alone. A chunk reports link counts
 and a spanning forest, not pairs.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,13 +30,17 @@ from liftgrid.llm.common import components, store, uniform, with_group_min, with
 from liftgrid.llm.simhash import _merge
 
 SAMPLE, QUERIES = 20_000, 400
+#: Neighbours of each kind that are planted, over all queries.
+PLANTED = 1_600
 #: Share of the links that visits should meet.
 TARGET = 0.98
 #: Members of a cell that are compared at once.
 CHUNK = 4_096
-#: Visits are calibrated at these numbers.
+#: Visits are calibrated at these numbers; the last are more than there are cells.
 VISITS = np.unique(np.round(1.3 ** np.arange(64)).astype(np.int64))
 
+LOG = logging.getLogger(__name__)
+
 
 def unit(rows: np.ndarray) -> np.ndarray:
     rows = rows.astype(np.float64)
@@ -90,11 +98,37 @@ def _vectors(column: pa.Array, dimension: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dimension)
 
 
+def planted_recall(rows: np.ndarray, grid: Grid, least: float) -> np.ndarray:
+    """Shares met after each of ``VISITS`` of neighbours at cosine ``least``, for two kinds of directions.
+
+    A pair is met if either end visits the other's home.
+    """
+    rng = np.random.default_rng(11)
+    x = rows[np.arange(PLANTED) % len(rows)]
+    kinds = [rng.standard_normal(x.shape), rows[rng.integers(0, len(rows), len(x))] + 1e-9 * rng.standard_normal(x.shape)]
+
+    def rank(of: np.ndarray, other: np.ndarray) -> np.ndarray:
+        (a, b), home = grid.parts(of), grid.home(other)
+        i, j = np.divmod(home, b.shape[1])
+        at = a[np.arange(len(of)), i] + b[np.arange(len(of)), j]
+        return ((a[:, :, None] + b[:, None, :]).reshape(len(of), -1) < at[:, None]).sum(axis=1) + 1
+
+    out = []
+    for kind in kinds:
+        side = kind - (kind * x).sum(axis=1, keepdims=True) * x
+        size = np.linalg.norm(side, axis=1, keepdims=True)
+        y = unit(least * x + np.sqrt(max(0.0, 1 - least * least)) * side / np.maximum(size, 1e-300))
+        met = [np.minimum(rank(x[k : k + 64], y[k : k + 64]), rank(y[k : k + 64], x[k : k + 64])) for k in range(0, len(x), 64)]
+        out.append((np.concatenate(met)[:, None] <= VISITS).mean(axis=0))
+    return np.stack(out)
+
+
 def calibrate(members: DataFrame, grid: Grid, dimension: int, least: float, share: float) -> tuple[int, float]:
-    """Cells to visit, and the share of links then met, by brute force of sampled queries on all rows."""
+    """Cells to visit, and the smallest share then met: of links, by brute force of sampled queries on
+    all rows, and of planted neighbours."""
     queries = members.where(uniform(5, "rid") < share).select("rid", "label", "v").toPandas()
     if not len(queries):
-        return 1, 1.0
+        queries = members.select("rid", "label", "v").orderBy("rid").limit(QUERIES).toPandas()
     rid, label = queries["rid"].to_numpy(), queries["label"].to_numpy()
     rows = unit(np.stack(queries["v"].to_numpy()))
     a, b = grid.parts(rows)
@@ -117,27 +151,27 @@ def calibrate(members: DataFrame, grid: Grid, dimension: int, least: float, shar
     total = np.zeros((len(rows), VISITS.size + 1))
     for r in rows_of.groupBy("q", "v").agg(F.sum("n").alias("n")).collect():
         total[r["q"], r["v"]] = r["n"]
+    recall = planted_recall(rows, grid, least).min(axis=0)
     total = total[total.sum(axis=1) > 0]
-    if not len(total):
-        return 1, 1.0
-    met = np.cumsum(total, axis=1)
-    recall = np.minimum((met / met[:, -1:]).mean(axis=0), met.sum(axis=0) / met[:, -1].sum())
+    if len(total):
+        met = np.cumsum(total, axis=1)[:, : VISITS.size]
+        every = total.sum(axis=1, keepdims=True)
+        recall = np.minimum(recall, np.minimum((met / every).mean(axis=0), met.sum(axis=0) / every.sum()))
     at = min(int(np.searchsorted(recall, TARGET)), VISITS.size - 1)
     return int(VISITS[at]), float(recall[at])
 
 
-def _members(df: DataFrame, key: str, vector: str, label: str) -> tuple[DataFrame, DataFrame, int]:
-    """All rows with ``rid`` (null: links with nothing), the distinct members, and the dimension."""
+def _members(df: DataFrame, key: str, vector: str, label: str) -> tuple[DataFrame, DataFrame]:
+    """All rows with ``rid`` (null: links with nothing), and the distinct members."""
     norm = F.aggregate(F.col("v"), F.lit(0.0), lambda s, x: s + x * x)
     sound = F.forall(F.col("v"), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     rows = df.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"), F.col(label).cast("long").alias("label"))
     rows = rows.withColumn("ok", F.coalesce(F.col("k").isNotNull() & F.col("label").isNotNull() & sound, F.lit(False)))
     rows = rows.withColumn("ok", F.col("ok") & F.coalesce((norm > 0) & (norm < F.lit(float("inf"))), F.lit(False)))
-    dimension = rows.where("ok").agg(F.max(F.size("v"))).first()[0] or 0
-    rows = rows.withColumn("rid", F.when(F.col("ok") & (F.size("v") == dimension), F.xxhash64("label", "v")))
+    rows = rows.withColumn("rid", F.when(F.col("ok"), F.xxhash64("label", "v")))
     rows = store(rows.select("k", "label", "v", "rid"), "vectors")
     members = rows.where("rid IS NOT NULL").groupBy("rid", "label", "v").agg(F.min("k").alias("low"), F.count("*").alias("weight"))
-    return rows, store(members, "members"), dimension
+    return rows, store(members, "members")
 
 
 def _visitors(members: DataFrame, grid: Grid, dimension: int, visits: int) -> DataFrame:
@@ -212,20 +246,21 @@ def _links(dealt: DataFrame, grid: Grid, dimension: int, visits: int, least: flo
 def near_vectors(df: DataFrame, key: str, vector: str, label: str, least: float = 0.93) -> DataFrame:
     """``key``, ``n_links``, ``component`` and ``kept`` of every row.
 
-    A row links with nothing if its key, label or vector is null, its vector is zero, holds a null
-    or non-finite component, or has another length than the longest sound one; it is then a component of its own
-    (null for a null key, and kept). Rows with equal keys are rows of their own.
+    A row links with nothing if its key, label or vector is null, its vector is zero, or holds a null
+    or non-finite component; it is then a component of its own (null for a null key, and kept). Vectors of
+    different lengths don't link. Rows with equal keys are rows of their own.
     """
-    rows, members, dimension = _members(df, key, vector, label)
-    count = members.count()
-    if dimension < 2:
-        linked = rows.withColumns({"n_links": F.lit(0).cast("long"), "component": F.col("k")})
-    else:
-        sample = members.where(uniform(3, "rid") < SAMPLE / max(1, count)).select("v").toPandas()["v"]
+    rows, members = _members(df, key, vector, label)
+    linked = rows.where("rid IS NULL").select("k", F.lit(0).cast("long").alias("n_links"), F.col("k").alias("component"))
+    length = F.size("v")
+    for dimension, count in sorted(members.groupBy(length).count().collect()):
+        mine = members.where(length == dimension)
+        sample = mine.where(uniform(3, "rid") < SAMPLE / count).select("v").toPandas()["v"]
         size = int(np.clip(np.sqrt(count / 64), 4, 256))
         grid = Grid(unit(np.stack(sample.to_numpy())) if len(sample) else np.ones((1, dimension)), size)
-        visits, _ = calibrate(members, grid, dimension, least, QUERIES / max(1, count))
-        linked = _linked(rows, members, grid, dimension, visits, least)
+        visits, recall = calibrate(mine, grid, dimension, least, QUERIES / count)
+        LOG.info("%d vectors of length %d: %d of %d cells visited, recall %.4f", count, dimension, visits, len(grid.left) * len(grid.right), recall)
+        linked = linked.unionByName(_linked(rows.where(F.col("rid").isNotNull() & (length == dimension)), mine, grid, dimension, visits, least))
     kept = F.coalesce(F.col("k") == F.col("component"), F.lit(True))
     return linked.select(F.col("k").alias(key), "n_links", "component", kept.alias("kept"))
 
@@ -249,6 +284,4 @@ def _linked(rows: DataFrame, members: DataFrame, grid: Grid, dimension: int, vis
         .select("rid", "low", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("root", "rid").alias("root"))
     )
     named = with_group_min(whole, "root", "low", "component", ["rid"]).select("rid", "n_links", "component")
-    linked = with_lookup(rows.where("rid IS NOT NULL").select("k", "rid"), "rid", named, ["k"]).select("k", "n_links", "component")
-    alone = rows.where("rid IS NULL").select("k", F.lit(0).cast("long").alias("n_links"), F.col("k").alias("component"))
-    return linked.unionByName(alone)
+    return with_lookup(rows.select("k", "rid"), "rid", named, ["k"]).select("k", "n_links", "component")

@@ -186,6 +186,23 @@ def test_embedding_links(spark):
     assert embedgroups.near_vectors(frame.limit(0), "vec_id", "embedding", "label").count() == 0
 
 
+def test_rare_embedding_links(spark, monkeypatch):
+    """Few rows have a link, so sampled queries have none; and each length of vectors has its own links."""
+    monkeypatch.setattr(embedgroups, "QUERIES", 12)
+    rng = np.random.default_rng(6)
+    x = embedgroups.unit(rng.normal(size=(3000, 24)))
+    side = rng.normal(size=(60, 24))
+    side = embedgroups.unit(side - (side * x[:60]).sum(axis=1, keepdims=True) * x[:60])
+    near = 0.935 * x[:60] + np.sqrt(1 - 0.935**2) * side
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(np.concatenate([x, near]))]
+    rows += [(9000, [1.0, 2.0, 3.0], 0), (9001, [1.0, 2.0, 3.1], 0), (9002, [3.0, -2.0, 1.0], 0), (9003, [2.0], 0), (9004, [5.0], 0), (9005, [-5.0], 0)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = embedgroups.near_vectors(frame, "vec_id", "embedding", "label", 0.93).toPandas().set_index("vec_id")
+    assert len(got) == len(rows)
+    assert got.n_links.loc[[9000, 9001, 9002, 9003, 9004, 9005]].tolist() == [1, 1, 0, 1, 1, 0]
+    assert (got.component.loc[range(3000, 3060)].to_numpy() == np.arange(60)).mean() >= 0.95
+
+
 # 4
 
 

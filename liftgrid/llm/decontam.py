@@ -8,7 +8,8 @@ driver finishes on that bounded matrix. Its eigenvectors fold items and passages
 
 Search. Windows of an item's size slide over whole documents. A window whose terms weigh too little to
 hold the wanted share of any item is left out, which loses nothing; the others are compared with all items by
-latent cosine. Candidates are then verified on the words: the longest common subsequence, weighted by
+latent cosine. What surrounds a copy in its window can outweigh it in the latent space, so windows whose words can make a
+copy are candidates whatever their cosine. Candidates are then verified on the words: the longest common subsequence, weighted by
 term, and the same for the item's *answer*, its last sentence. Copies pass by the first alone,
 paraphrases need both.
 
@@ -39,6 +40,8 @@ SEARCH_WORDS = 400_000
 LATENT, RANK = 24, 32
 #: Latent cosine of a candidate; share of an item that makes a copy; share of item and answer of a paraphrase.
 COSINE, COPY, PARAPHRASE, ANSWER = 0.4, 0.8, 0.6, 0.6
+#: Share of an item, in its heaviest terms, that is counted in all windows to find those that can hold a copy.
+HEAVY = 0.5
 
 _SPLIT = bytes.maketrans(bytes(c for c in range(128) if not chr(c).isalnum()), b" " * 66)
 
@@ -88,12 +91,49 @@ class Items:
         blocks = np.array([-(-i.size // STRIDE) for i in self.items], int)
         self.classes = [self._class(int(n), np.flatnonzero((blocks == n) & (self.mass > 0))) for n in np.unique(blocks)]
 
-    def _class(self, size: int, members: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
-        """Items of one size: their terms, padded with the term that weighs nothing, and weights."""
+    def _class(self, size: int, members: np.ndarray) -> tuple:
+        """Items of one size: their terms, padded with the term that weighs nothing, weights, and :meth:`_heavy`."""
         terms = np.zeros((members.size, size * STRIDE), np.int32)
         for row, m in enumerate(members):
             terms[row, : self.items[m].size] = self.items[m]
-        return size, members, terms, self.weight[terms].astype(np.float32)
+        return size, members, terms, self.weight[terms].astype(np.float32), self._heavy(members)
+
+    def _heavy(self, members: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Members by heavy term (first place of each term, members, weights), and the weight that a window with a
+        copy has of each member's: at most ``1 - COPY`` of an item is missing, wherever that is."""
+        found = []
+        for row, m in enumerate(members):
+            term, count = np.unique(self.items[m], return_counts=True)
+            order = np.argsort(-self.weight[term], kind="stable")
+            weight = (self.weight[term] * count)[order]
+            taken = min(order.size, int(np.searchsorted(np.cumsum(weight), HEAVY * self.mass[m])) + 1)
+            found.append((term[order[:taken]], np.full(taken, row), weight[:taken]))
+        if not found:
+            return np.zeros(self.weight.size + 1, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
+        need = np.array([f[2].sum() for f in found]) - (1 - COPY) * self.mass[members]
+        term, row, weight = map(np.concatenate, zip(*found, strict=True))
+        order = np.argsort(term, kind="stable")
+        return np.searchsorted(term[order], np.arange(self.weight.size + 1)), row[order], weight[order], need
+
+    def _copies(self, ids: np.ndarray, start: np.ndarray, stop: np.ndarray, a: np.ndarray, b: np.ndarray, heavy: tuple) -> np.ndarray:
+        """Whether each window of blocks ``a`` to ``b`` has enough heavy terms for a copy of each member; repeats
+        in a window count again, so none is missed."""
+        place, row, weight, need = heavy
+        edges = np.zeros(b.max() - a[0] + 1, np.int64)
+        np.add.at(edges, a - a[0], 1)
+        np.add.at(edges, b - a[0], -1)
+        used = np.cumsum(edges[:-1]) > 0
+        number = np.r_[0, np.cumsum(used)]
+        blocks = a[0] + np.flatnonzero(used)
+        words = stop[blocks] - start[blocks]
+        inside = np.arange(words.sum()) - np.repeat(np.cumsum(words) - words, words)
+        term = ids[np.repeat(start[blocks], words) + inside]
+        times = place[term + 1] - place[term]
+        at = np.repeat(place[term] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+        cell = np.repeat(np.repeat(np.arange(1, blocks.size + 1), words), times) * need.size + row[at]
+        total = np.bincount(cell, weight[at], (blocks.size + 1) * need.size).reshape(-1, need.size)
+        np.cumsum(total, axis=0, out=total)
+        return total[number[b - a[0]]] - total[number[a - a[0]]] >= need * (1 - 1e-5)
 
     def search(self, ids: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, float, float, float, int]]:
         """``(document, item, cosine, share, answer share, first word)`` of each item found in
@@ -109,7 +149,7 @@ class Items:
         stop = np.minimum(start + STRIDE, ends[doc])
         total = np.r_[0.0, np.cumsum(np.add.reduceat(self.weight[ids], start))]
         plans, edges = [], np.zeros(doc.size + 1, np.int64)
-        for size, members, terms, weights in self.classes:
+        for size, members, terms, weights, heavy in self.classes:
             if not members.size:
                 continue
             least = PARAPHRASE * self.mass[members]
@@ -118,7 +158,7 @@ class Items:
             mass = total[high] - total[low]
             dense = mass >= least.min()
             if dense.any():
-                plans.append((members, terms, weights, least, low[dense], high[dense], mass[dense]))
+                plans.append((members, terms, weights, heavy, least, low[dense], high[dense], mass[dense]))
                 np.add.at(edges, low[dense], 1)
                 np.add.at(edges, high[dense], -1)
         if not plans:
@@ -132,14 +172,15 @@ class Items:
         folded[needed + 1] = np.add.reduceat(self.fold[ids[np.repeat(start[needed], words) + inside]], first, axis=0)
         np.cumsum(folded, axis=0, out=folded)
         near: dict[tuple[int, int], list] = {}
-        for members, terms, weights, least, low, high, mass in plans:
+        for members, terms, weights, heavy, least, low, high, mass in plans:
             step = max(16, (1 << 23) // self.weight.size)
             for k in range(0, low.size, step):
                 a, b = low[k : k + step], high[k : k + step]
                 latent = folded[b] - folded[a]
                 latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
                 cosine = latent @ self.query[members].T
-                w, m = np.nonzero((cosine >= COSINE) & (mass[k : k + step, None] >= least))
+                copies = self._copies(ids, start, stop, a, b, heavy)
+                w, m = np.nonzero(((cosine >= COSINE) | copies) & (mass[k : k + step, None] >= least))
                 if not w.size:
                     continue
                 # The words must be there, in whatever order, for a subsequence of them to be.
@@ -151,7 +192,8 @@ class Items:
                 present[np.repeat(np.arange(some.size), words), ids[np.repeat(first, words) + inside]] = True
                 for j in range(0, w.size, 1 << 15):
                     v, n = w_at[j : j + (1 << 15)], m[j : j + (1 << 15)]
-                    there = np.einsum("ij,ij->i", present[v[:, None], terms[n]], weights[n]) >= least[n] * (1 - 1e-5)
+                    wanted = np.where(cosine[w[j : j + (1 << 15)], n] >= COSINE, 1, COPY / PARAPHRASE) * least[n]
+                    there = np.einsum("ij,ij->i", present[v[:, None], terms[n]], weights[n]) >= wanted * (1 - 1e-5)
                     for at, n_ in zip((w[j : j + (1 << 15)])[there], n[there], strict=True):
                         place = (int(start[a[at]]), int(stop[b[at] - 1]), float(cosine[at, n_]))
                         near.setdefault((int(doc[a[at]]), int(members[n_])), []).append(place)

@@ -343,6 +343,21 @@ def test_leaks(spark, empty):
     assert decontam.find_leaks(docs, "doc_id", "text", bench.limit(0), "item_id", "text").count() == 0
 
 
+def test_copies_are_found_whatever_their_cosine(spark, monkeypatch):
+    rng = random.Random(10)
+    items, texts = prose(30, 11, 3000), prose(60, 12, 3000)
+    for i in range(30):
+        words, copy = texts[i].split(), items[i].split()
+        copy = [w for n, w in enumerate(copy) if i % 2 or n % 12]  # a twelfth is missing from each other copy
+        k = rng.randint(0, len(words))
+        texts[i] = " ".join([*words[:k], *copy, *words[k:]])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    monkeypatch.setattr(decontam, "COSINE", 2.0)
+    found = decontam.find_leaks(docs, "doc_id", "text", bench, "item_id", "text").collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(i, i) for i in range(30)}
+
+
 def test_common_weight_against_a_table():
     rng = np.random.default_rng(1)
     for _ in range(50):

@@ -10,13 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from liftgrid.functions.hashing import fold
-from liftgrid.learners.boosting import BoostParams
-from liftgrid.learners.dualhead import NetParams, fit_dual_head
+from liftgrid.learners.dualhead import fit_dual_head
 from liftgrid.learners.forest import (
     cross_fit_residuals,
     fit_dml_forest,
     leaf_moments,
-    small_forest,
 )
 from liftgrid.learners.meta import (
     blend,
@@ -416,15 +414,10 @@ def tail_interval(spark: SparkSession, folder: str) -> DataFrame:
 # Learners
 
 
-TRIAL = BoostParams(rounds=10, depth=3, step=0.2, min_leaf=20, patience=5)
-
-
 def _outcome_models(spark: SparkSession, folder: str):
     """The two-model learner, fitted once; the imputed-outcome learner builds on it."""
     train, val = (splits(spark, folder).where(F.col("split") == s) for s in ("train", "val"))
-    model = _once(
-        spark, folder, "t_learner", lambda: fit_t_learner(train, SPEC, val, "visit", TRIAL)
-    )
+    model = _once(spark, folder, "t_learner", lambda: fit_t_learner(train, SPEC, val, "visit"))
     return model, train, val
 
 
@@ -439,24 +432,24 @@ def t_learner(spark: SparkSession, folder: str) -> DataFrame:
 
 def x_learner(spark: SparkSession, folder: str) -> DataFrame:
     base, train, val = _outcome_models(spark, folder)
-    model = fit_x_learner(base, train, val, "visit", TRIAL)
+    model = fit_x_learner(base, train, val, "visit")
     return long_predictions(model.transform(_test(spark, folder)), SPEC, "x_learner")
 
 
 def residuals(spark: SparkSession, folder: str) -> DataFrame:
     train = splits(spark, folder).where(F.col("split") == "train")
-    return cross_fit_residuals(train, SPEC, "visit", 3, TRIAL, TRIAL).select("unit_id", "ry", "rt")
+    return cross_fit_residuals(train, SPEC, "visit").select("unit_id", "ry", "rt")
 
 
 def causal_forest(spark: SparkSession, folder: str) -> DataFrame:
     train = splits(spark, folder).where(F.col("split") == "train")
-    model = fit_dml_forest(train, SPEC, "visit", small_forest(20, 5), TRIAL, TRIAL)
+    model = fit_dml_forest(train, SPEC, "visit")
     return long_predictions(model.transform(_test(spark, folder)), SPEC, "causal_forest")
 
 
 def dual_head(spark: SparkSession, folder: str) -> DataFrame:
     train, val = (splits(spark, folder).where(F.col("split") == s) for s in ("train", "val"))
-    model = fit_dual_head(train, val, SPEC, "visit", NetParams(batch=512, rate=3e-3, epochs=4))
+    model = fit_dual_head(train, val, SPEC, "visit")
     return long_predictions(model.transform(_test(spark, folder)), SPEC, "dual_head")
 
 
@@ -490,7 +483,7 @@ def honest_leaf_moments(spark: SparkSession, folder: str) -> DataFrame:
 
 def placebo_test(spark: SparkSession, folder: str) -> DataFrame:
     train = splits(spark, folder).where(F.col("split") == "train")
-    scores = placebo.placebo_scores(train, SPEC, "visit", BoostParams(rounds=5, depth=3, step=0.2, min_leaf=20))
+    scores = placebo.placebo_scores(train, SPEC, "visit")
     real = abtest.average_effect(units(spark, folder), SPEC, "visit").first()[0]
     return placebo.placebo_verdict(scores, "unit_id", real, PLACEBO_DRAWS)
 

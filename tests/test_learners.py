@@ -124,3 +124,37 @@ def test_placebo_finds_little(spark, parts, spec):
     assert abs(r["tau_mean"]) < 0.03
     worse = placebo.placebo_verdict(scores.withColumn("tau", F.lit(0.4)), spec.unit_id, 0.5, 100).first()
     assert worse["statistical_check_pass"] is False and worse["overall_verdict"] == "FAIL"
+
+
+@pytest.mark.parametrize(
+    ("name", "fit"),
+    [
+        ("t_learner", "fit_t_learner"),
+        ("x_learner", "fit_x_learner"),
+        ("residuals", "cross_fit_residuals"),
+        ("causal_forest", "fit_dml_forest"),
+        ("dual_head", "fit_dual_head"),
+        ("placebo_test", "placebo.placebo_scores"),
+    ],
+)
+def test_registered_learners_run_with_full_settings(name, fit, spark, folder, monkeypatch):
+    from inspect import Parameter, signature
+
+    from liftgrid.catalog import queries
+
+    *inside, last = fit.split(".")
+    where = getattr(queries, inside[0]) if inside else queries
+    wanted = signature(getattr(where, last))
+
+    def instead(*args, **named):
+        given = wanted.bind(*args, **named).arguments
+        whole = {k: p.default for k, p in wanted.parameters.items() if p.default is not Parameter.empty and k not in ("val", "outcome")}
+        assert {k: v for k, v in given.items() if k in whole and v != whole[k]} == {}
+        raise InterruptedError
+
+    if name == "x_learner":
+        monkeypatch.setattr(queries, "_outcome_models", lambda *_: (None, None, None))
+    monkeypatch.setattr(queries, "_once", lambda spark, folder, what, make: make())
+    monkeypatch.setattr(where, last, instead)
+    with pytest.raises(InterruptedError):
+        getattr(queries, name)(spark, folder)

@@ -42,9 +42,13 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark item, copied or paraphrased."""
-    leaks = decontam.find_leaks(docs, "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text")
-    return docs.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """Documents without a benchmark item, copied or paraphrased.
+
+    What a row holds follows from its text, so rows go by its digest: an id may be null or repeated.
+    """
+    rows = docs.withColumn("_digest", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    leaks = decontam.find_leaks(rows, "_digest", "text", table(spark, sf_dir, "benchmark"), "item_id", "text")
+    return rows.join(leaks.select("_digest").distinct(), "_digest", "left_anti").select(docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -548,6 +548,17 @@ def test_pipeline(spark):
     assert corpus_pipeline.ORACLE_SQL is None
 
 
+def test_leaks_of_rows_without_an_id_are_dropped(spark, tmp_path):
+    import corpus_pipeline
+
+    items, texts = prose(3, 11, 3000), prose(6, 12, 3000)
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [*enumerate(texts), (None, texts[0] + " " + items[0]), (None, "clean"), (3, texts[1] + " " + items[1]), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.drop_leaks(spark, docs, str(tmp_path)).collect()
+    assert Counter(map(tuple, kept)) == Counter([*enumerate(texts), (None, "clean"), (9, None)])
+
+
 def test_no_import_from_the_rest():
     root = os.path.dirname(os.path.abspath(contract.__file__))
     for where, _, names in os.walk(os.path.join(root, "liftgrid")):

@@ -28,6 +28,17 @@ def store(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the folders of a frame that :func:`store` wrote and nothing reads any more."""
+    spark = df.sparkSession
+    root = checkpoint_dir(spark).split(":", 1)[-1].lstrip("/")
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if root not in folder:
+            raise ValueError(f"{folder} is no stored intermediate")
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def pyarrow_uri(path: str) -> str:
     """A Hadoop path as pyarrow's file systems spell it (``file:/x`` has one slash in Hadoop)."""
     path = re.sub(r"^file:/+", "file:///", path)

@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from liftgrid.llm import decontam, embedgroups, packing, quality, secretscan, sharding, simhash, suffixdedup, urlfilter, warc
+from liftgrid.llm import (
+    convrepair,
+    decontam,
+    embedgroups,
+    packing,
+    quality,
+    secretscan,
+    sharding,
+    simhash,
+    suffixdedup,
+    urlfilter,
+    vectorcodes,
+    warc,
+    wordcodes,
+)
 from liftgrid.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -151,6 +165,35 @@ def op10_simhash_pivots(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_word_transducer(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids of every document, and what they decode to."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    coded = wordcodes.encode(table(spark, folder, "documents"), "doc_id", "text", path)
+    coded = coded.select("k", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), "ids")
+    return wordcodes.decode(coded, "k", "ids", path, "n_tokens", "ids_sha256").select(
+        F.col("k").alias("doc_id"), "n_tokens", "ids_sha256", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256")
+    )
+
+
+def op12_active_codes(spark: SparkSession, folder: str) -> DataFrame:
+    """The code of every vector in 16 parts of 64 entries after two rounds."""
+    coded, books = vectorcodes.encode(table(spark, folder, "embeddings"), "vec_id", "embedding", "label")
+    digest = F.lit(None).cast("string")
+    for length, book in books.items():
+        digest = F.when(F.col("length") == length, F.lit(book.digest())).otherwise(digest)
+    return vectorcodes.with_label_error(coded).select(
+        F.col("k").alias("vec_id"), F.lower(F.hex("code")).alias("code"), "error", "label_error", digest.alias("codebooks_sha256")
+    )
+
+
+def op13_conversation_paths(spark: SparkSession, folder: str) -> DataFrame:
+    """Faults and the cheapest repair of every conversation."""
+    pieces = convrepair.repair(table(spark, folder, "conversations"), "conv_id", "turn", "role", "text")
+    return convrepair.digests(pieces).select(
+        F.col("conv").alias("conv_id"), "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"
+    )
+
+
 OP5_SQL = r"""
 WITH parts AS (
   SELECT page_id,
@@ -180,6 +223,9 @@ QUERIES: dict[str, Query] = {
     "op8_secret_field": op8_secret_field,
     "op9_cotrained_quality": op9_cotrained_quality,
     "op10_simhash_pivots": op10_simhash_pivots,
+    "op11_word_transducer": op11_word_transducer,
+    "op12_active_codes": op12_active_codes,
+    "op13_conversation_paths": op13_conversation_paths,
 }
 
 ORACLE: dict[str, str] = {"op2_capture_index": OP2_SQL, "op5_wildcard_urls": OP5_SQL}

@@ -34,7 +34,7 @@ from liftgrid.llm.common import scratch
 #: Frequent chunks whose words are compiled; all other words are merged.
 FREQUENT = 32_768
 #: Bytes of text that are worked on at once; a longer text is worked on alone.
-BLOCK = 8_000_000
+BLOCK = 2_000_000
 #: Words of more bytes are merged with a heap.
 LONG = 64
 #: Distinct chunks that a counting task holds.
@@ -468,16 +468,16 @@ def decode(df: DataFrame, key: str, ids: str, path: str, *extra: str) -> DataFra
         known[list(tokens)] = True
         table = pa.array([tokens.get(i, "") for i in range(size + 1)])
         for batch in batches:
-            column, out = pc.fill_null(batch.column(batch.num_columns - 1), b""), []
-            for block in _blocks(column):
+            low = 0
+            for block in _blocks(pc.fill_null(batch.column(batch.num_columns - 1), b"")):
                 at = np.cumsum(np.r_[0, pc.binary_length(block).to_numpy(zero_copy_only=False)]) // 4
                 number = np.minimum(np.frombuffer(b"".join(block.to_pylist()), "<u4").astype(np.int64), size)
                 keep = known[number]
                 at = np.r_[0, np.cumsum(keep)][at]
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), table.take(pa.array(number[keep])))
-                out.append(pc.binary_join(lists, " "))
-            text = pa.chunked_array(out, pa.string()).combine_chunks()
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], text], names=[key, *extra, "text"])
+                others = [c.slice(low, len(block)) for c in batch.columns[:-1]]
+                yield pa.RecordBatch.from_arrays([*others, pc.binary_join(lists, " ")], names=[key, *extra, "text"])
+                low += len(block)
 
     rows = df.select(key, *extra, ids)
     kinds = ", ".join(f"`{n}` {rows.schema[n].dataType.simpleString()}" for n in (key, *extra))

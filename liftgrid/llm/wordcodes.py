@@ -19,7 +19,7 @@ import json
 import re
 import uuid
 from collections.abc import Iterable, Iterator, Sequence
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from liftgrid.llm.common import scratch
+from liftgrid.llm.common import discard, scratch, store
 
 #: Frequent chunks whose words are compiled; all other words are merged.
 FREQUENT = 32_768
@@ -101,27 +101,27 @@ class Tokenizer:
         self.inner = np.array([vocab[c] for c in shown], np.int64)
         self.last = np.array([vocab[c + self.suffix] for c in shown], np.int64)
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        self.made: dict[int, int] = {}
-        self.pairs: dict[tuple[int, int], tuple[int, int]] = {}
-        ordered = True
-        for rank, (a, b) in enumerate(merges):
-            left, right, new = vocab[a], vocab[b], vocab[a + b]
-            ordered &= new not in self.made and max(self.made.get(left, -1), self.made.get(right, -1)) < rank
-            self.made.setdefault(new, rank)
-            self.pairs[left, right] = rank, new
-        #: Equal pairs of a word may be merged at once.
-        self.together = ordered
-        keys = np.array([(a << 32) | b for a, b in self.pairs], np.int64).reshape(-1)
-        values = np.array([*self.pairs.values()], np.int64).reshape(-1, 2)
+        table = np.array([(vocab[a], vocab[b], vocab[a + b]) for a, b in merges], np.int64).reshape(-1, 3)
+        rank = np.arange(len(table))
+        made = np.full(max(vocab.values(), default=0) + 1, -1)
+        made[table[:, 2]] = rank
+        #: Equal pairs of a word may be merged at once: each result has one pair, which comes after those of its parts.
+        self.together = bool((made[table[:, 2]] == rank).all() and (made[table[:, :2]] < rank[:, None]).all())
+        keys = (table[:, 0] << 32) | table[:, 1]
         order = np.argsort(keys)
-        self.keys, self.ranks, self.results = keys[order], values[order, 0], values[order, 1]
+        self.keys, self.ranks, self.results = keys[order], rank[order], table[order, 2]
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         plain = all(t["special"] and not (t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"]) for t in spec["added_tokens"])
         if not plain or any(c in t for t in self.added for c in " \n"):
             raise ValueError(f"{path}: another kind of added tokens")
         longest = sorted(self.added, key=len, reverse=True)
         self.marks = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
-        self.tokens = {i: t for t, i in (vocab | self.added).items()}
+
+    @cached_property
+    def pairs(self) -> dict[tuple[int, int], tuple[int, int]]:
+        """Rank and result of each pair."""
+        left, right = (self.keys >> 32).tolist(), (self.keys & 0xFFFFFFFF).tolist()
+        return dict(zip(zip(left, right, strict=True), zip(self.ranks.tolist(), self.results.tolist(), strict=True), strict=True))
 
     @staticmethod
     def byte_characters() -> list[str]:
@@ -224,6 +224,18 @@ def tokenizer(path: str) -> Tokenizer:
     return Tokenizer(path)
 
 
+@lru_cache(maxsize=2)
+def token_table(path: str) -> tuple[np.ndarray, pa.Array]:
+    """Which ids there are (the last: none), and their tokens."""
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    tokens = {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+    size = max(tokens, default=-1) + 1
+    known = np.zeros(size + 1, bool)
+    known[list(tokens)] = True
+    return known, pa.array([tokens.get(i, "") for i in range(size + 1)])
+
+
 class _State:
     __slots__ = ("arcs", "final", "end")
 
@@ -364,7 +376,8 @@ def _blocks(texts: pa.Array) -> Iterator[pa.Array]:
 
 
 def frequent_chunks(df: DataFrame, text: str, most: int = FREQUENT) -> list[str]:
-    """The most frequent chunks of all texts; ties go to the lesser. Tasks add up their counts before the shuffle."""
+    """The most frequent chunks of all texts, ``most`` or fewer: those of the highest counts (in steps of an eighth
+    of a power of two) that fit whole. Tasks add up their counts before the shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
@@ -387,7 +400,16 @@ def frequent_chunks(df: DataFrame, text: str, most: int = FREQUENT) -> list[str]
             yield from total().to_batches()
 
     counts = df.select(text).mapInArrow(count, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
-    return [r["chunk"] for r in counts.orderBy(F.desc("n"), "chunk").limit(most).collect()]
+    counts = store(counts.withColumn("step", F.floor(F.log2("n") * 8)), "chunks")
+    least, total = None, 0
+    for r in sorted(counts.groupBy("step").count().collect(), reverse=True):  # at most 512 steps
+        total += r["count"]
+        if total > most:
+            break
+        least = r["step"]
+    found = [] if least is None else [r["chunk"] for r in counts.where(F.col("step") >= least).select("chunk").collect()]
+    discard(counts)
+    return sorted(found)
 
 
 def build_lexicon(spark: SparkSession, chunks: Iterable[str], path: str) -> str:
@@ -449,6 +471,7 @@ def encode(df: DataFrame, key: str, text: str, path: str, lexicon: str | None =
                 keys = batch.column(0).slice(low, len(block))
                 yield pa.RecordBatch.from_arrays([keys, pa.array(np.diff(ids.at)), column], names=["k", "n_tokens", "ids"])
                 low += len(block)
+            pa.default_memory_pool().release_unused()
 
     rows = df.select(F.col(key).alias("k"), F.col(text).alias("t"))
     return rows.mapInArrow(work, f"k {rows.schema['k'].dataType.simpleString()}, n_tokens long, ids binary")
@@ -462,16 +485,12 @@ def decode(df: DataFrame, key: str, ids: str, path: str, *extra: str) -> DataFra
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = tokenizer(path).tokens
-        size = max(tokens, default=-1) + 1
-        known = np.zeros(size + 1, bool)
-        known[list(tokens)] = True
-        table = pa.array([tokens.get(i, "") for i in range(size + 1)])
+        known, table = token_table(path)
         for batch in batches:
             low = 0
             for block in _blocks(pc.fill_null(batch.column(batch.num_columns - 1), b"")):
                 at = np.cumsum(np.r_[0, pc.binary_length(block).to_numpy(zero_copy_only=False)]) // 4
-                number = np.minimum(np.frombuffer(b"".join(block.to_pylist()), "<u4").astype(np.int64), size)
+                number = np.minimum(np.frombuffer(b"".join(block.to_pylist()), "<u4").astype(np.int64), known.size - 1)
                 keep = known[number]
                 at = np.r_[0, np.cumsum(keep)][at]
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), table.take(pa.array(number[keep])))

@@ -78,7 +78,11 @@ def test_merging_at_once_equals_merging_with_a_heap():
 def test_frequent_chunks_count_all_texts(spark):
     texts = ["a b b", None, "", "b c\nc c", "c d"] * 30
     df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
-    assert wordcodes.frequent_chunks(df, "text", 3) == ["c", "b", ""]
+    # c: 120 times, b: 90, nothing: 60 (null and empty texts are one each), a and d: 30.
+    assert wordcodes.frequent_chunks(df, "text", 2) == ["b", "c"]
+    assert wordcodes.frequent_chunks(df, "text", 4) == ["", "b", "c"]
+    assert wordcodes.frequent_chunks(df, "text", 5) == ["", "a", "b", "c", "d"]
+    assert wordcodes.frequent_chunks(df.limit(0), "text") == []
 
 
 def test_word_query_on_documents(spark, folder):

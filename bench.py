@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import os
+import signal
 import sys
 import time
 
@@ -58,8 +59,22 @@ def main() -> None:
         start = time.perf_counter()
         run()
         seconds[name] = round(time.perf_counter() - start, 3)
-        if os.environ.get("BENCH_VERBOSE"):
-            print(name, seconds[name], file=sys.stderr, flush=True)
+        print(name, seconds[name], file=sys.stderr, flush=True)
+
+    def report(*stopped: object) -> None:
+        """The JSON line; if the run is stopped from outside, of what has ended by then."""
+        line = {
+            "metric": "total_wall_seconds",
+            "value": round(sum(seconds.values()), 3),
+            "unit": "sec",
+            "queries": seconds,
+            "sf": os.path.basename(folder.rstrip("/")).removeprefix("sf"),
+        }
+        print(json.dumps(line | ({"complete": False} if stopped else {})), flush=True)
+        if stopped:
+            os._exit(1)
+
+    signal.signal(signal.SIGTERM, report)
 
     timed("experiment_table", lambda: catalog.units(spark, folder))
     timed("split_tables", lambda: catalog.splits(spark, folder))
@@ -68,17 +83,7 @@ def main() -> None:
             continue
         query = catalog.ALL[name]
         timed(name, lambda: query(spark, folder).write.format("noop").mode("overwrite").save())
-    print(
-        json.dumps(
-            {
-                "metric": "total_wall_seconds",
-                "value": round(sum(seconds.values()), 3),
-                "unit": "sec",
-                "queries": seconds,
-                "sf": os.path.basename(folder.rstrip("/")).removeprefix("sf"),
-            }
-        )
-    )
+    report()
     spark.stop()
 
 

@@ -223,6 +223,17 @@ def _tail_points() -> str:
     )
 
 
+GROUP_MEANS = """means AS (SELECT f0 > 40 AS high, avg(visit) FILTER (treatment = 0) AS mu0, avg(visit) FILTER (treatment = 1) AS mu1
+  FROM e GROUP BY 1)"""
+REGIONS = """regions AS (SELECT unit_id, f1, f0 + f5 / 10 AS tau,
+  CASE WHEN f5 > 10 THEN CAST(floor(f5 / 20) AS INTEGER) END AS region FROM e)"""
+
+
+def hex_sql(salt: str, at: int) -> str:
+    """Eight hex digits of a unit's draw as a number."""
+    return f"CAST('0x' || substr(md5(unit_id || ':{salt}:42'), {at}, 8) AS BIGINT)"
+
+
 def oracle() -> dict[str, str]:
     z_columns = f"""round(lift, 6) AS absolute_lift, round(z, 4) AS z_statistic,
       round(lift - {Z_95} * se, 6) AS ci_low, round(lift + {Z_95} * se, 6) AS ci_high"""
@@ -492,6 +503,55 @@ def oracle() -> dict[str, str]:
             select="""SELECT tree, leaf, count(*) AS n, round(avg(t), 8) AS t, round(avg(y), 8) AS y,
               round(avg(t * y), 8) AS ty, round(avg(t * t), 8) AS tt FROM r GROUP BY tree, leaf""",
         ),
+        "t_learner_by_group": with_(
+            GROUP_MEANS,
+            select="SELECT unit_id, round(mu0, 9) AS mu0, round(mu1, 9) AS mu1, round(mu1 - mu0, 9) AS tau FROM e JOIN means ON high = (f0 > 40)",
+        ),
+        "x_learner_by_group": with_(
+            GROUP_MEANS,
+            """effects AS (SELECT high, avg(mu1 - visit) FILTER (treatment = 0) AS tau0, avg(visit - mu0) FILTER (treatment = 1) AS tau1
+              FROM e JOIN means ON high = (f0 > 40) GROUP BY high)""",
+            select="""SELECT unit_id, round(tau0, 9) AS tau0, round(tau1, 9) AS tau1, round(g * tau0 + (1 - g) * tau1, 9) AS tau
+              FROM e JOIN effects ON high = (f0 > 40), (SELECT avg(treatment) AS g FROM e)""",
+        ),
+        "residuals_by_group": with_(
+            f"folded AS (SELECT unit_id, f0 > 40 AS high, visit, treatment, {hex_sql('fold', 1)} % 3 AS fold FROM e)",
+            "parts AS (SELECT high, fold, count(*) AS n, sum(visit) AS y, sum(treatment) AS t FROM folded GROUP BY ALL)",
+            """others AS (SELECT high, fold, (sum(y) OVER w - y) / (sum(n) OVER w - n) AS ey, (sum(t) OVER w - t) / (sum(n) OVER w - n) AS et
+              FROM parts WINDOW w AS (PARTITION BY high))""",
+            select="SELECT unit_id, round(visit - ey, 9) AS ry, round(treatment - et, 9) AS rt FROM folded JOIN others USING (high, fold)",
+        ),
+        "honest_tree_effects": with_(
+            f"""held AS (SELECT f0 > 40 AS high, treatment - 0.85 AS t, visit - 0.07 AS y FROM e
+              WHERE ({hex_sql('honest', 9)} % 2147483647 * 1000003 + 42) % 2147483647 >= 1073741823)""",
+            "leaves AS (SELECT high, (avg(t * y) - avg(t) * avg(y)) / (avg(t * t) - avg(t) * avg(t)) AS tau FROM held GROUP BY high)",
+            select="SELECT unit_id, round(tau, 9) AS tau FROM e JOIN leaves ON high = (f0 > 40)",
+        ),
+        "placebo_scores_by_group": with_(
+            """controls AS (SELECT unit_id, f0 > 40 AS high, visit, CASE WHEN substr(md5(unit_id || ':pseudo:42'), 1, 8) < '80000000'
+              THEN 1 ELSE 0 END AS pseudo FROM e WHERE treatment = 0)""",
+            "strata AS (SELECT pseudo AS treatment, visit AS conversion, count(*) AS n FROM controls GROUP BY ALL)",
+            allocation("first", "strata", "sum(n) OVER () - CAST(ceil(CAST(0.3 AS DOUBLE) * sum(n) OVER ()) AS BIGINT)"),
+            """ranked_controls AS (SELECT *, row_number() OVER (PARTITION BY pseudo, visit
+              ORDER BY md5(unit_id || ':holdout:42'), unit_id) AS r FROM controls)""",
+            """marked AS (SELECT c.*, r > q AS holdout FROM ranked_controls c
+              JOIN first f ON f.treatment = c.pseudo AND f.conversion = c.visit)""",
+            "fitted AS (SELECT high, avg(visit) FILTER (pseudo = 1) - avg(visit) FILTER (pseudo = 0) AS tau FROM marked WHERE NOT holdout GROUP BY high)",
+            select="SELECT unit_id, round(tau, 9) AS tau FROM marked JOIN fitted USING (high) WHERE holdout",
+        ),
+        "feature_vectors": with_(select="SELECT unit_id, " + ", ".join(f"{c} AS v{i}" for i, c in enumerate(SPEC.features)) + " FROM e"),
+        "winsorized_rows_by_null_group": with_(
+            REGIONS,
+            "b AS (SELECT region, quantile_cont(f1, 0.01) AS low, quantile_cont(f1, 0.99) AS high FROM regions GROUP BY region)",
+            select="SELECT unit_id, r.region, round(greatest(least(f1, high), low), 6) AS winsorized FROM regions r JOIN b ON r.region IS NOT DISTINCT FROM b.region",
+        ),
+        "percentiles_by_null_group": with_(
+            REGIONS,
+            "placed AS (SELECT region, tau, row_number() OVER (PARTITION BY region ORDER BY tau DESC, unit_id) AS rank, count(*) OVER (PARTITION BY region) AS n FROM regions)",
+            f"tenths AS (SELECT region, tau, {DECILE} AS decile FROM placed)",
+            select="""SELECT region, decile, count(*) AS n, round(min(tau), 6) AS tau_min, round(quantile_cont(tau, 0.5), 6) AS tau_p50,
+              round(max(tau), 6) AS tau_max FROM tenths WHERE decile IN (1, 9, 10) GROUP BY region, decile""",
+        ),
         "placebo_verdict": with_(
             "p AS (SELECT unit_id, (f5 - 25.5) / 1000 AS tau FROM e WHERE treatment = 0)", *weight_ctes("p", PLACEBO_DRAWS),
             "means AS (SELECT replicate, sum(w * tau) / sum(w) AS m FROM p JOIN weights USING (unit_id) GROUP BY replicate)",

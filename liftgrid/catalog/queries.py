@@ -4,16 +4,21 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 from typing import TypeVar
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from liftgrid.functions.hashing import fold
+from liftgrid.learners.boosting import BoostParams
 from liftgrid.learners.dualhead import fit_dual_head
 from liftgrid.learners.forest import (
+    ForestParams,
     cross_fit_residuals,
     fit_dml_forest,
+    fit_honest_forest,
     leaf_moments,
 )
 from liftgrid.learners.meta import (
@@ -24,6 +29,7 @@ from liftgrid.learners.meta import (
     pseudo_outcome_summary,
     pseudo_outcomes,
     treatment_rate,
+    with_features,
 )
 from liftgrid.operators import (
     abtest,
@@ -372,6 +378,23 @@ def winsorized_rows(spark: SparkSession, folder: str) -> DataFrame:
     return tails.winsorize(df, "unit_id").select("unit_id", F.round("winsorized", 6).alias("winsorized"))
 
 
+def by_region(spark: SparkSession, folder: str) -> DataFrame:
+    """One score in groups, one of which has a null key."""
+    group = F.when(F.col("f5") > 10, F.floor(F.col("f5") / 20).cast("int"))
+    return one_score(spark, folder).withColumn("region", group)
+
+
+def winsorized_rows_by_null_group(spark: SparkSession, folder: str) -> DataFrame:
+    w = tails.winsorize(by_region(spark, folder), SPEC.unit_id, "f1", ["region"])
+    return w.select("unit_id", "region", F.round("winsorized", 6).alias("winsorized"))
+
+
+def percentiles_by_null_group(spark: SparkSession, folder: str) -> DataFrame:
+    d = tails.diagnose_tail(by_region(spark, folder), SPEC, groups=["region"])
+    points = [F.get("tau_percentiles", F.lit(i)).alias(c) for i, c in ((0, "tau_min"), (3, "tau_p50"), (6, "tau_max"))]
+    return d.select("region", "decile", "n", *points)
+
+
 def winsorize_report(spark: SparkSession, folder: str) -> DataFrame:
     r = tails.winsorize_report(scored(spark, folder), SPEC, groups=["model"])
     return r.select(
@@ -453,6 +476,54 @@ def dual_head(spark: SparkSession, folder: str) -> DataFrame:
     return long_predictions(model.transform(_test(spark, folder)), SPEC, "dual_head")
 
 
+# Learners on one 0/1 feature, all rows and all features in every round: what they fit are group means, which SQL repeats.
+
+GROUPED = replace(SPEC, features=("high",))
+GROUP_MEANS = BoostParams(rounds=3, depth=1, step=0.5, row_fraction=1.0, feature_fraction=1.0, min_leaf=1, patience=None)
+
+
+def grouped(spark: SparkSession, folder: str) -> DataFrame:
+    return units(spark, folder).withColumn("high", (F.col("f0") > 40).cast("double"))
+
+
+def t_learner_by_group(spark: SparkSession, folder: str) -> DataFrame:
+    df = grouped(spark, folder)
+    model = fit_t_learner(df, GROUPED, None, "visit", GROUP_MEANS)
+    return model.transform(df).select("unit_id", *[F.round(c, 9).alias(c) for c in ("mu0", "mu1", "tau")])
+
+
+def x_learner_by_group(spark: SparkSession, folder: str) -> DataFrame:
+    df = grouped(spark, folder)
+    base = fit_t_learner(df, GROUPED, None, "visit", GROUP_MEANS)
+    model = fit_x_learner(base, df, None, "visit", GROUP_MEANS)
+    return model.transform(df).select("unit_id", *[F.round(c, 9).alias(c) for c in ("tau0", "tau1", "tau")])
+
+
+def residuals_by_group(spark: SparkSession, folder: str) -> DataFrame:
+    rows = cross_fit_residuals(grouped(spark, folder), GROUPED, "visit", 3, GROUP_MEANS, GROUP_MEANS)
+    return rows.select("unit_id", *[F.round(c, 9).alias(c) for c in ("ry", "rt")])
+
+
+def honest_tree_effects(spark: SparkSession, folder: str) -> DataFrame:
+    """One tree of all units: grown on one half, its leaf effects measured on the other."""
+    df = grouped(spark, folder)
+    centred = df.withColumns({"ry": F.col("visit") - 0.07, "rt": F.col("treatment") - 0.85})
+    params = ForestParams(trees=1, depth=1, row_fraction=1.0, tree_units=10_000_000)
+    model = fit_honest_forest(with_features(centred, GROUPED), GROUPED, params)
+    return model.transform(df).select("unit_id", F.round("tau", 9).alias("tau"))
+
+
+def placebo_scores_by_group(spark: SparkSession, folder: str) -> DataFrame:
+    scores = placebo.placebo_scores(grouped(spark, folder), GROUPED, "visit", GROUP_MEANS)
+    return scores.select("unit_id", F.round("tau", 9).alias("tau"))
+
+
+def feature_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    values = vector_to_array(F.col("features"))
+    rows = scaling.assemble(units(spark, folder), SPEC, "features")
+    return rows.select("unit_id", *[values[i].alias(f"v{i}") for i in range(len(SPEC.features))])
+
+
 def imputed_effects(spark: SparkSession, folder: str) -> DataFrame:
     df = units(spark, folder).withColumns({"mu0": F.col("f2") / 4, "mu1": F.col("f3") / 2})
     rows = pseudo_outcomes(df, SPEC)
@@ -560,6 +631,8 @@ ALL: dict[str, Query] = {
         rank_agreement, average_ranks, alignment_report, percentiles, winsorized_rows,
         winsorize_report, last_deciles, tail_diagnosis, tail_interval,
         imputed_effects, imputed_effect_summary, blended_effects, honest_leaf_moments,
+        t_learner_by_group, x_learner_by_group, residuals_by_group, honest_tree_effects,
+        placebo_scores_by_group, feature_vectors, winsorized_rows_by_null_group, percentiles_by_null_group,
         t_learner, x_learner, residuals, causal_forest, dual_head,
         placebo_test, placebo_verdict, control_pool,
         csv_round_trip, arm_table_round_trip, split_round_trip, prediction_round_trip,

@@ -13,13 +13,14 @@ copy are candidates whatever their cosine. Candidates are then verified on the w
 term, and the same for the item's *answer*, its last sentence. Copies pass by the first alone,
 paraphrases need both.
 
-Items are taken in blocks of ``BLOCK_ITEMS`` with a pass each, so what is sent to tasks is bounded.
+Items are taken in blocks with a pass each, so what is sent to tasks is bounded: of ``BLOCK_ITEMS`` items and ``TERMS``
+words at most (an item of more words is a block). Every word of a block has a number of its own.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from liftgrid.llm.common import map_batches, store
 
 BLOCK_ITEMS = 20_000
-#: Largest number of terms of a block; beyond it terms share a number by hash.
+#: Largest number of terms of a block, number 0 (no term) included.
 TERMS = 1 << 15
 #: Words of a passage, and between windows.
 PASSAGE, STRIDE = 32, 8
@@ -69,6 +70,20 @@ def common_weight(item: np.ndarray, region: np.ndarray, weight: np.ndarray) -> f
     return float(row[-1])
 
 
+def by_vocabulary(rows: Iterable[tuple[int | None, str | None]]) -> Iterator[list[tuple[int | None, str | None]]]:
+    """Consecutive items whose words, together, have numbers below ``TERMS``; at least one list, each of an item or more."""
+    part: list[tuple[int | None, str | None]] = []
+    seen: set[bytes] = set()
+    for row in rows:
+        words = set(words_of(row[1]))
+        if part and len(seen | words) >= TERMS:
+            yield part
+            part, seen = [], set()
+        part.append(row)
+        seen |= words
+    yield part
+
+
 class Items:
     """The items of a block: term numbers, and after :meth:`weigh` what the search compares."""
 
@@ -77,8 +92,8 @@ class Items:
         self.keys = [k for k, _ in kept]
         words = [words_of(t) for _, t in kept]
         terms = sorted({w for found in words for w in found})
-        self.terms = {w: k % (TERMS - 1) + 1 for k, w in enumerate(terms)}
-        self.size = min(TERMS, len(terms) + 1)
+        self.terms = {w: k + 1 for k, w in enumerate(terms)}
+        self.size = len(terms) + 1
         self.items = [np.array([self.terms[w] for w in found], np.int32) for found in words]
         self.answers = [answer_words(t) for _, t in kept]
 
@@ -296,7 +311,7 @@ def latent_basis(ids: DataFrame, idf: np.ndarray) -> np.ndarray:
                 t, p = terms[a:b], passage[a:b]
                 at = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
                 rows = np.add.reduceat(spread[t], at, axis=0)
-                order = np.argsort(t.astype(np.uint16), kind="stable")  # fewer than 65,536: sorted by digits
+                order = np.argsort(t.astype(np.uint16) if idf.size <= 1 << 16 else t, kind="stable")  # 16 bits are sorted by digits
                 place = (np.cumsum(np.r_[True, p[1:] != p[:-1]]) - 1)[order]
                 first = np.flatnonzero(np.r_[True, np.diff(t[order]) != 0])
                 out[t[order][first]] += np.add.reduceat(rows[place], first, axis=0)
@@ -329,9 +344,10 @@ def find_leaks(docs: DataFrame, key: str, text: str, benchmark: DataFrame, item:
     doc_kind = docs.schema[key].dataType.simpleString()
     item_kind = benchmark.schema[item].dataType.simpleString()
     schema = f"k {doc_kind}, i {item_kind}, cosine double, share double, answer double, word long"
-    for b in range(blocks):
-        rows = benchmark.where(F.pmod(F.xxhash64(item, item_text), F.lit(blocks)) == b).select(item, item_text)
-        items = Items([tuple(r) for r in rows.orderBy(item, item_text).collect()])
+    of_block = F.pmod(F.xxhash64(item, item_text), F.lit(blocks))
+    hashed = (benchmark.where(of_block == b).select(item, item_text).orderBy(item, item_text) for b in range(blocks))
+    for rows in (part for block in hashed for part in by_vocabulary(tuple(r) for r in block.collect())):
+        items = Items(rows)
         ids = store(numbered(docs, key, text, items), "terms")
         idf = inverse_frequency(ids, items.size)
         items.weigh(idf, latent_basis(ids, idf))

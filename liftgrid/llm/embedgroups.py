@@ -163,11 +163,15 @@ def calibrate(members: DataFrame, grid: Grid, dimension: int, least: float, shar
 
 def _members(df: DataFrame, key: str, vector: str, label: str) -> tuple[DataFrame, DataFrame]:
     """All rows with ``rid`` (null: links with nothing), and the distinct members."""
-    norm = F.aggregate(F.col("v"), F.lit(0.0), lambda s, x: s + x * x)
     sound = F.forall(F.col("v"), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    rows = df.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"), F.col(label).cast("long").alias("label"))
+    whole = df.schema[label].dataType.typeName() in ("byte", "short", "integer", "long")
+    same = F.col(label).cast("long") if whole else F.when(F.col(label).isNotNull(), F.xxhash64(label))
+    rows = df.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"), same.alias("label"))
     rows = rows.withColumn("ok", F.coalesce(F.col("k").isNotNull() & F.col("label").isNotNull() & sound, F.lit(False)))
-    rows = rows.withColumn("ok", F.col("ok") & F.coalesce((norm > 0) & (norm < F.lit(float("inf"))), F.lit(False)))
+    # Divided by the largest component, so that no square is too large or too small; the cosine stays.
+    largest = F.array_max(F.transform("v", F.abs))
+    rows = rows.withColumn("ok", F.col("ok") & F.coalesce(largest > 0, F.lit(False)))
+    rows = rows.withColumn("v", F.when(F.col("ok"), F.transform("v", lambda x: x / largest)))
     rows = rows.withColumn("rid", F.when(F.col("ok"), F.xxhash64("label", "v")))
     rows = store(rows.select("k", "label", "v", "rid"), "vectors")
     members = rows.where("rid IS NOT NULL").groupBy("rid", "label", "v").agg(F.min("k").alias("low"), F.count("*").alias("weight"))
@@ -248,7 +252,8 @@ def near_vectors(df: DataFrame, key: str, vector: str, label: str, least: float
 
     A row links with nothing if its key, label or vector is null, its vector is zero, or holds a null
     or non-finite component; it is then a component of its own (null for a null key, and kept). Vectors of
-    different lengths don't link. Rows with equal keys are rows of their own.
+    different lengths don't link. Rows with equal keys are rows of their own. Labels may be of any type. Other columns are
+    ignored, so their names can't clash. An empty table gives an empty table.
     """
     rows, members = _members(df, key, vector, label)
     linked = rows.where("rid IS NULL").select("k", F.lit(0).cast("long").alias("n_links"), F.col("k").alias("component"))

@@ -54,7 +54,7 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.quick = None
         if ranks:
             import public_tokenizers
@@ -78,7 +78,9 @@ class WordIds(dict):
         return ids
 
     def encode(self, text: str) -> np.ndarray:
-        if _JOINED.search(text):
+        if any(a in text for a in self.added):  # their content is their id, also in the middle of a word
+            parts = [array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()]
+        elif _JOINED.search(text):
             parts = [self.ids(text)]
         elif any(r in text for r in _RUNS):
             parts = map(self.ids, _PART.findall(text))

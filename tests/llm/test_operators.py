@@ -296,8 +296,7 @@ def test_packing(spark, empty, ranks):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    texts = prose(40, 7) + ["", " ", "\n\n a", "a\t b  c \n", "<|endoftext|> x", "日本 語\u3000 x", "\x1c b", " ".join(prose(60, 8)), "x\n y\n", "it's 12 3!! _a"]
+    texts = prose(40, 7) + ["", " ", "a<|endoftext|>b  <|endoftext|>", "<|endoftext| >", "\n\n a", "a\t b  c \n", "<|endoftext|> x", "日本 語\u3000 x", "\x1c b", " ".join(prose(60, 8)), "x\n y\n", "it's 12 3!! _a"]
     docs = awkward(spark, texts)
     parts, packed = packing.pack_documents(docs, "doc_id", "text", path, ranks)
     got = packed.toPandas()
@@ -361,6 +360,23 @@ def test_copies_are_found_whatever_their_cosine(monkeypatch):
     assert {(doc, item) for doc, item, *_ in found} == {(i, i) for i in range(30)}
 
 
+def test_words_of_a_benchmark_have_numbers_of_their_own(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{k}" for k in range(20 * i, 20 * i + 24))) for i in range(2000)]  # 40,004 words
+    parts = list(decontam.by_vocabulary(rows))
+    assert [r for p in parts for r in p] == rows and len(parts) == 2
+    for part in parts:
+        block = decontam.Items(part)
+        assert len(set(block.terms.values())) == len(block.terms) == block.size - 1 < decontam.TERMS
+    assert list(decontam.by_vocabulary([])) == [[]]
+    items, texts = prose(12, 31, 3000), prose(20, 32, 3000)
+    texts = [f"{t} {items[i % 12]}" if i < 12 else t for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    monkeypatch.setattr(decontam, "TERMS", 300)  # several blocks, and no document of another item is found
+    found = decontam.find_leaks(docs, "doc_id", "text", bench, "item_id", "text").collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(i, i) for i in range(12)}
+
+
 def test_common_weight_against_a_table():
     rng = np.random.default_rng(1)
     for _ in range(50):
@@ -562,6 +578,46 @@ def test_leaks_of_rows_without_an_id_are_dropped(spark, tmp_path):
     assert Counter(map(tuple, kept)) == Counter([*enumerate(texts), (None, "clean"), (9, None)])
 
 
+STAGE_DOCS = "doc_id long, text string, lang string, source string, n_chars long, keep string, p_quality string, _digest string, digest int, key int, _key int, k int, fp long"
+
+
+def test_stages_on_awkward_rows(spark, folder):
+    """Nulls in any column, empty texts, repeated rows and ids, and names that operators use inside."""
+    import corpus_pipeline
+
+    texts = prose(30, 41, 2000)
+    rest = ("mine", "own", "d", 5, 6, 7, 8, 9)
+    rows = [(i, t, "en", "web", len(t), *rest) for i, t in enumerate(texts)]
+    rows += [rows[3], rows[3], (3, texts[4] + " more", *rows[3][2:]), (None, texts[5], *rows[5][2:]), (None, "alone " + texts[6][::-1], *rows[5][2:])]
+    rows += [(100, None, None, None, None, *[None] * 8), (101, "", "en", "web", 0, *rest), (None, None, None, None, None, *rest)]
+    docs = spark.createDataFrame(rows, STAGE_DOCS)
+    stages = dict(corpus_pipeline.STAGES)
+    judged = stages["quality"](spark, docs, folder)
+    assert judged.columns == docs.columns and not Counter(map(tuple, judged.collect())) - Counter(rows)
+    kept = [tuple(r) for r in stages["near_copies"](spark, docs, folder).collect()]
+    # Repeated rows are one; of copies the smallest id stays (3 of those of 4); blank texts are copies of each other.
+    assert Counter(r[0] for r in kept) == Counter([*range(4), 3, *range(5, 30), 100, None]) and [r[1] for r in kept if r[0] is None] == [rows[34][1]]
+    assert {r[1] for r in kept if r[0] == 3} == {texts[3], texts[4] + " more"} and set(kept) <= set(rows)
+    clean = stages["decontamination"](spark, docs, folder)
+    assert clean.columns == docs.columns and Counter(map(tuple, clean.collect())) == Counter(rows)
+    masked = stages["secrets"](spark, docs, folder)
+    assert masked.columns == docs.columns and masked.count() == len(rows)
+    assert masked.where("text IS NULL AND n_chars IS NOT NULL").count() == 0
+    packed = stages["packing"](spark, docs, folder)
+    assert packed.select(F.countDistinct("doc_id")).first()[0] == 32 and packed.count() >= len(rows)
+    none = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, folder).count() == 0, name
+
+
+def test_vectors_of_any_size_and_label_type(spark):
+    near = [1.0, 0.02, 0.0, 0.01]
+    rows = [(1, [1.0, 0.0, 0.0, 0.0], 0.5), (2, [1e-300 * x for x in near], 0.5), (3, [1e300 * x for x in near], 0.5), (4, near, 0.25), (5, [0.0] * 4, 0.5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label double")
+    found = {r.vec_id: (r.n_links, r.component) for r in embedgroups.near_vectors(df, "vec_id", "embedding", "label").collect()}
+    assert found == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4), 5: (0, 5)}
+
+
 def test_no_import_from_the_rest():
     root = os.path.dirname(os.path.abspath(contract.__file__))
     for where, _, names in os.walk(os.path.join(root, "liftgrid")):

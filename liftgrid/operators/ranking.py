@@ -16,6 +16,7 @@ the plan, they also make every retry place a row in the same bucket.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -33,9 +34,8 @@ SCORE = "_score"
 
 ROWS_PER_BUCKET = 10_000
 MIN_LIMIT, MAX_LIMIT = 2048, 8192  # most buckets asked for, by size of the cluster
-_KEY_BITS = 40
-_KEY_SPAN = float(2**_KEY_BITS)
 _SUB_SPAN = 2**21
+_SAMPLED = 64  # rows of a tied score that are looked at for each bucket
 _BOUNDED_ROWS = 1_000_000
 
 
@@ -61,15 +61,15 @@ def rank_order(unit_id: str) -> list[Column]:
 
 @dataclass(frozen=True)
 class Buckets:
-    """Fitted cut values: ascending score splits, and key splits inside tied scores."""
+    """Fitted cut values: ascending score splits, and unit keys that split tied scores.
+
+    ``key_cuts`` holds ``(score, unit key)`` as JSON, ascending; ``tied_scores`` are the scores in it.
+    """
 
     rows: int
     score_splits: list[float] = field(default_factory=list)
-    key_splits: list[float] = field(default_factory=list)
+    key_cuts: list[str] = field(default_factory=list)
     tied_scores: list[float] = field(default_factory=list)
-    key_low: object = None
-    key_high: object = None
-    key_type: T.DataType | None = None
 
     def place(self, scored: DataFrame, unit_id: str) -> DataFrame:
         """Add the bucket, ascending in rank order, to a frame with a score column."""
@@ -78,35 +78,32 @@ class Buckets:
         out = Bucketizer(
             splits=self.score_splits, inputCol=SCORE, outputCol="_at", handleInvalid="error"
         ).transform(scored)
-        coarse = (F.lit(len(self.score_splits)) - F.col("_at")).cast("bigint") * _SUB_SPAN
-        if not self.key_splits:
-            return out.withColumn(BUCKET, coarse).drop("_at")
-        tied = F.col(SCORE).isin(self.tied_scores)
-        slot = F.when(tied, F.col("_at") * _KEY_SPAN + self._key(unit_id)).otherwise(F.lit(-1.0))
-        out = Bucketizer(
-            splits=self.key_splits, inputCol="_slot", outputCol="_sub", handleInvalid="error"
-        ).transform(out.withColumn("_slot", slot))
-        fine = coarse + F.col("_sub").cast("bigint")
-        return out.withColumn(BUCKET, fine).drop("_at", "_slot", "_sub")
-
-    def _key(self, unit_id: str) -> Column:
-        return key_position(unit_id, self.key_type, self.key_low, self.key_high)
-
-
-def key_position(unit_id: str, kind: T.DataType, low: object, high: object) -> Column:
-    """Map unit keys to [0, 2^40) without changing their order (equal values may arise)."""
-    if isinstance(kind, T.StringType):
-        a, b = str(low).encode(), str(high).encode()
-        shared = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
-        digits = _KEY_BITS // 4
-        window = F.substring(F.encode(F.col(unit_id), "UTF-8"), shared + 1, _KEY_BITS // 8)
-        padded = F.rpad(F.hex(window), digits, "0")
-        return F.coalesce(F.conv(padded, 16, 10).cast("double"), F.lit(0.0))
-    span = float(high) - float(low)
-    if span <= 0:
-        return F.lit(0.0)
-    part = (F.col(unit_id).cast("double") - float(low)) / span
-    return F.floor(F.least(F.greatest(part, F.lit(0.0)), F.lit(1.0)) * (_KEY_SPAN - 1)).cast("double")
+        bucket = (F.lit(len(self.score_splits)) - F.col("_at")).cast("bigint") * _SUB_SPAN
+        if self.key_cuts:
+            kind = T.ArrayType(_cut_type(scored, unit_id))
+            cuts = F.from_json(F.lit(f"[{','.join(self.key_cuts)}]"), kind)
+            inner = _not_above(cuts, len(self.key_cuts), _cut(unit_id))
+            bucket += F.when(F.col(SCORE).isin(self.tied_scores), inner).otherwise(F.lit(0))
+        return out.withColumn(BUCKET, bucket).drop("_at")
+
+
+def _cut(unit_id: str) -> Column:
+    return F.struct(F.col(SCORE).alias("s"), F.col(unit_id).alias("k"))
+
+
+def _cut_type(scored: DataFrame, unit_id: str) -> T.StructType:
+    return T.StructType([T.StructField("s", T.DoubleType()), T.StructField("k", scored.schema[unit_id].dataType)])
+
+
+def _not_above(cuts: Column, size: int, value: Column) -> Column:
+    """How many entries of an ascending array literal are at or below ``value``, by bisection."""
+    step = F.sequence(F.lit(size.bit_length() - 1), F.lit(0))
+
+    def halve(found: Column, bit: Column) -> Column:
+        upto = found + F.call_function("shiftleft", F.lit(1), bit)
+        return F.when((upto <= size) & (F.get(cuts, upto - 1) <= value), upto).otherwise(found)
+
+    return F.aggregate(step, F.lit(0), halve)
 
 
 def _even_cuts(value: str | Column, parts: int) -> Column:
@@ -127,23 +124,18 @@ def fit_buckets(
     """Fit cut values so that no bucket holds much more than 1/n-th of the rows.
 
     One pass with a mergeable sketch, and a second over tied scores only when a score repeats
-    often enough to fill several buckets. At most ``max_buckets`` numbers reach the driver.
+    often enough to fill several buckets. At most ``max_buckets`` scores and as many keys reach the driver.
     Scores of all groups are pooled: a bucket of one group never exceeds the pooled bucket.
     """
     if max_buckets is None:
         cores = scored.sparkSession.sparkContext.defaultParallelism
         max_buckets = min(max(MIN_LIMIT, 2 * cores), MAX_LIMIT)
-    found = scored.agg(
-        F.count(F.lit(1)).alias("n"),
-        _even_cuts(SCORE, max_buckets).alias("cuts"),
-        F.min(unit_id).alias("low"),
-        F.max(unit_id).alias("high"),
-    ).first()
+    found = scored.agg(F.count(F.lit(1)).alias("n"), _even_cuts(SCORE, max_buckets).alias("cuts")).first()
     wanted = min(max_buckets, math.ceil(found.n / rows_per_bucket)) if found.n else 1
     if wanted < 2:
         return Buckets(rows=found.n)
     cuts = [found.cuts[round(i * max_buckets / wanted) - 1] for i in range(1, wanted)]
-    repeats = {v: cuts.count(v) for v in dict.fromkeys(cuts)}
+    repeats = Counter(cuts)
     edges = {-math.inf, math.inf}
     for value, count in repeats.items():
         edges.add(value)
@@ -152,23 +144,25 @@ def fit_buckets(
     splits = sorted(edges)
     if len(splits) < 3:
         return Buckets(rows=found.n)
-    kind = scored.schema[unit_id].dataType
-    tied = {v: c for v, c in repeats.items() if c > 2 and split_ties}
-    base = Buckets(found.n, splits, [], sorted(tied), found.low, found.high, kind)
-    if not tied:
-        return base
-    parts = max(tied.values())
-    tied_rows = scored.where(F.col(SCORE).isin(base.tied_scores))
-    per_value = (
-        tied_rows.groupBy(SCORE)
-        .agg(_even_cuts(base._key(unit_id), parts).alias("keys"))
-        .collect()
-    )
-    inner = {-math.inf, 0.0, math.inf}
-    for row in per_value:
-        start = float(splits.index(row[SCORE])) * _KEY_SPAN
-        inner |= {start, start + _KEY_SPAN} | {start + k for k in row["keys"]}
-    return Buckets(found.n, splits, sorted(inner), base.tied_scores, found.low, found.high, kind)
+    tied = sorted(v for v, c in repeats.items() if c > 2 and split_ties)
+    keys = _tied_keys(scored, unit_id, tied, found.n / wanted) if tied else []
+    return Buckets(found.n, splits, keys, tied)
+
+
+def _tied_keys(scored: DataFrame, unit_id: str, tied: Sequence[float], per_bucket: float) -> list[str]:
+    """Every so many-th unit key of each tied score, from a sample of real keys with small hashes.
+
+    The sample is of units, so it doesn't depend on partitioning. It holds ``_SAMPLED`` rows for each bucket, whatever share
+    of the rows a score has, and one key in ``_SAMPLED`` reaches the driver: one for each bucket.
+    """
+    share = min(1.0, _SAMPLED / per_bucket)
+    low = F.xxhash64(F.lit(17), F.to_json(F.struct(unit_id))) / F.lit(2.0**64) + 0.5 < share
+    drawn = scored.where(F.col(SCORE).isin(list(tied)) & low).select(SCORE, unit_id)
+    order = F.row_number().over(Window.partitionBy(SCORE).orderBy(F.col(unit_id).asc()))
+    gap = max(1, round(share * per_bucket))
+    cuts = drawn.withColumn("_i", order).where(F.col("_i") % gap == 0)
+    rows = cuts.orderBy(SCORE, unit_id).select(F.to_json(_cut(unit_id)).alias("cut")).collect()
+    return list(dict.fromkeys(r["cut"] for r in rows))
 
 
 def bucketed(

@@ -94,35 +94,40 @@ MDE_COLUMNS = """round(p0, 6) AS baseline_control_rate, round(h, 6) AS cohens_h_
   CAST(0.05 AS DOUBLE) AS alpha, CAST(0.8 AS DOUBLE) AS power"""
 
 
-def allocation(name: str, sizes: str, draws: str) -> str:
+def allocation(name: str, sizes: str, draws: str, strata: str = "treatment, conversion") -> str:
     """CTE dividing ``draws`` over strata by largest remainder."""
     return f"""{name} AS (
-      SELECT treatment, conversion, n, base + CASE WHEN row_number() OVER (
-          ORDER BY rem DESC, treatment, conversion) <= draws - sum(base) OVER () THEN 1 ELSE 0 END AS q
+      SELECT {strata}, n, base + CASE WHEN row_number() OVER (
+          ORDER BY rem DESC, {strata}) <= draws - sum(base) OVER () THEN 1 ELSE 0 END AS q
       FROM (SELECT *, draws * n // total AS base, draws * n % total AS rem FROM (
-        SELECT treatment, conversion, n, sum(n) OVER () AS total,
+        SELECT {strata}, n, sum(n) OVER () AS total,
           CAST({draws} AS BIGINT) AS draws FROM {sizes})))"""
 
 
 SIZES = "sizes AS (SELECT treatment, conversion, count(*) AS n FROM e GROUP BY ALL)"
 
 
-def drawn(salt: str) -> str:
+def drawn(salt: str, strata: str = "treatment, conversion", source: str = "e") -> str:
     return f"""drawn AS (
-      SELECT *, row_number() OVER (PARTITION BY treatment, conversion
-        ORDER BY md5(unit_id || ':{salt}:42'), unit_id) AS r FROM e)"""
+      SELECT *, row_number() OVER (PARTITION BY {strata}
+        ORDER BY md5(unit_id || ':{salt}:42'), unit_id) AS r FROM {source})"""
 
 
-SPLIT = (
-    SIZES,
-    allocation("first", "sizes", "floor(CAST(0.7 AS DOUBLE) * sum(n) OVER ())"),
-    "rest AS (SELECT treatment, conversion, n - q AS n FROM first)",
-    allocation("second", "rest", f"floor(CAST({0.15 / 0.30!r} AS DOUBLE) * sum(n) OVER ())"),
-    drawn("split"),
-    """split AS (
-      SELECT d.*, CASE WHEN r <= f.q THEN 'train' WHEN r <= f.q + s.q THEN 'val' ELSE 'test' END AS split
-      FROM drawn d JOIN first f USING (treatment, conversion) JOIN second s USING (treatment, conversion))""",
-)
+def split_ctes(strata: str = "treatment, conversion", source: str = "e") -> tuple[str, ...]:
+    """CTE ``split``: the rows of ``source`` with their part, exact in each stratum."""
+    return (
+        f"sizes AS (SELECT {strata}, count(*) AS n FROM {source} GROUP BY ALL)",
+        allocation("first", "sizes", "floor(CAST(0.7 AS DOUBLE) * sum(n) OVER ())", strata),
+        f"rest AS (SELECT {strata}, n - q AS n FROM first)",
+        allocation("second", "rest", f"floor(CAST({0.15 / 0.30!r} AS DOUBLE) * sum(n) OVER ())", strata),
+        drawn("split", strata, source),
+        f"""split AS (
+          SELECT d.*, CASE WHEN r <= f.q THEN 'train' WHEN r <= f.q + s.q THEN 'val' ELSE 'test' END AS split
+          FROM drawn d JOIN first f USING ({strata}) JOIN second s USING ({strata}))""",
+    )
+
+
+SPLIT = split_ctes()
 
 MASK = "CAST(4294967295 AS BIGINT)"
 
@@ -309,6 +314,10 @@ def oracle() -> dict[str, str]:
             select="SELECT full_rows, sample_rows, round(CAST(100 * sample_rows AS DOUBLE) / full_rows, 2) AS sample_pct FROM s",
         ),
         "split_rows": with_(*SPLIT, select="SELECT unit_id, split FROM split"),
+        "split_rows_by_order_value": with_(
+            "priced AS (SELECT unit_id, treatment, CAST(floor(f4) AS BIGINT) AS price FROM e)",
+            *split_ctes("treatment, price", "priced"), select="SELECT unit_id, split FROM split",
+        ),
         "split_round_trip": with_(
             *SPLIT, select="SELECT unit_id, split, treatment, conversion FROM split WHERE split = 'test'"
         ),

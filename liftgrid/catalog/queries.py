@@ -208,6 +208,12 @@ def split_rows(spark: SparkSession, folder: str) -> DataFrame:
     return sampling.stratified_split(units(spark, folder), SPEC).select("unit_id", "split")
 
 
+def split_rows_by_order_value(spark: SparkSession, folder: str) -> DataFrame:
+    """A split with about as many strata as there are orders."""
+    priced = units(spark, folder).withColumn("price", F.floor("f4").cast("bigint"))
+    return sampling.stratified_split(priced, SPEC, strata=["treatment", "price"]).select("unit_id", "split")
+
+
 def split_summary(spark: SparkSession, folder: str) -> DataFrame:
     return sampling.split_summary(sampling.stratified_split(units(spark, folder), SPEC), SPEC)
 
@@ -622,7 +628,7 @@ ALL: dict[str, Query] = {
         ab_report, arm_counts, arm_counts_by_size, average_effect, detectable_effect,
         balance_table, balance_summary,
         contract_rows, control_rows, column_profile, rate_checks, quality_verdict,
-        sample_rows, sample_builtin, sample_share, split_rows, split_summary, scaled_features,
+        sample_rows, sample_builtin, sample_share, split_rows, split_rows_by_order_value, split_summary, scaled_features,
         scaler_state, subsample_rows, holdout_rows, pseudo_arms, fold_sizes,
         uplift_curve, uplift_curve_tied, ranking_metrics, ranking_metrics_visit, uplift_at_k,
         decile_table, score_summary, permutation_check,

@@ -231,14 +231,17 @@ def rows_at_ranks(
     ranks: Mapping[str, Column],
     order: Sequence[Column] | None = None,
     carry: Sequence[str] = (SCORE,),
+    known: DataFrame | None = None,
 ) -> DataFrame:
     """The rows sitting at given global ranks: ``(*groups, cut, n, at, unit_id, *carry)``.
 
-    ``ranks`` maps a cut name to a rank as an expression of the group size ``n``; ranks outside
-    1..n find no row. Only the buckets that contain a wanted rank are shuffled and sorted. The
+    ``ranks`` maps a cut name to a rank as an expression of the group size ``n`` and of the columns
+    of ``known``, one row per group; ranks outside 1..n find no row. Only the buckets that contain a wanted rank are shuffled and sorted. The
     result is a local table with one row per group and cut.
     """
     totals = bucket_totals(placed, groups, {"_rows": F.lit(1)}).withColumn("n", F.col("_all__rows"))
+    if known is not None:
+        totals = match(totals, small(known, known), groups)
     wanted = F.inline(
         F.array(
             *[F.struct(F.lit(k).alias("cut"), r.cast("bigint").alias("at")) for k, r in ranks.items()]

@@ -10,19 +10,26 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from liftgrid.functions.hashing import below, draw
-from liftgrid.operators.ranking import BUCKET, bounded, rows_at_ranks, within_cuts
+from liftgrid.operators.ranking import (
+    BUCKET,
+    bucketed,
+    match,
+    rows_at_ranks,
+    running_totals,
+    settled,
+    small,
+    within_cuts,
+)
 from liftgrid.spec import ExperimentSpec
 
 DRAW = "_draw"
 MIN_CONVERSIONS = 50
 _UNITS_PER_BUCKET = 20_000
-_MAX_STRATA = 1000
-
-Stratum = tuple
+SIZE, KEY = "_size", "_stratum"
 
 
 def stratified_sample(
@@ -56,69 +63,69 @@ def pseudo_assignment(
     return df.withColumn(name, below(draw(spec.unit_id, "pseudo", seed), share).cast("int"))
 
 
-def allocate(sizes: Mapping[Stratum, int], draws: int) -> dict[Stratum, int]:
-    """Divide ``draws`` over strata in proportion to size, by largest remainder.
+def allocate(sizes: DataFrame, draws: int, size: str, out: str, strata: Sequence[str]) -> DataFrame:
+    """Add ``out``: ``draws`` divided over the rows in proportion to ``size``, by largest remainder.
 
-    Equal remainders go to the stratum that sorts first, null before any value.
+    Equal remainders go to the stratum that sorts first, null before any value. The remainders are ranked like any other
+    scores, so the strata may be as many as the units.
     """
-    total = sum(sizes.values())
+    total = sizes.agg(F.sum(size)).first()[0] or 0
     if not 0 <= draws <= total:
         raise ValueError(f"cannot draw {draws} of {total} units")
     if total == 0:
-        return dict(sizes)
-    given = {s: draws * n // total for s, n in sizes.items()}
-    left = draws - sum(given.values())
-    by_remainder = sorted(sizes, key=lambda s: (-(draws * sizes[s] % total), [(v is not None, v) for v in s]))
-    for s in by_remainder[:left]:
-        given[s] += 1
-    return given
+        return sizes.withColumn(out, F.lit(0).cast("bigint"))
+    product = F.col(size).cast("decimal(19,0)") * F.lit(draws).cast("decimal(19,0)")
+    parts = sizes.withColumn("_product", product).select(
+        F.struct(*sizes.columns).alias("_row"),
+        F.struct(*strata).alias(KEY),
+        F.expr(f"_product DIV CAST({total} AS DECIMAL(19,0))").alias("_whole"),
+        F.expr(f"CAST(_product % CAST({total} AS DECIMAL(19,0)) AS BIGINT)").alias("_rest"),
+    )
+    left = draws - parts.agg(F.sum("_whole")).first()[0]
+    ranked = running_totals(bucketed(parts, "_rest", KEY), KEY, [], {})
+    return ranked.select("_row.*", (F.col("_whole") + (F.col("rank") <= left).cast("bigint")).alias(out))
 
 
 def default_strata(spec: ExperimentSpec) -> list[str]:
     return [spec.treatment, spec.primary_outcome]
 
 
-def stratum_sizes(df: DataFrame, strata: Sequence[str]) -> dict[Stratum, int]:
-    """Rows per stratum; strata are few by contract, and checked to be."""
-    counts = df.groupBy(*strata).agg(F.count(F.lit(1)).alias("_n"))
-    rows = bounded(counts, _MAX_STRATA).collect()
-    return {tuple(r[s] for s in strata): r["_n"] for r in rows}
+def stratum_sizes(df: DataFrame, strata: Sequence[str]) -> DataFrame:
+    """Rows per stratum, as a column ``_size``."""
+    return settled(df.groupBy(*strata).agg(F.count(F.lit(1)).alias(SIZE)))
 
 
 def _first_units(
     df: DataFrame,
     spec: ExperimentSpec,
     strata: Sequence[str],
-    sizes: Mapping[Stratum, int],
-    quotas: Mapping[str, Mapping[Stratum, int]],
+    quotas: DataFrame,
+    names: Sequence[str],
     salt: str,
     seed: int,
 ) -> DataFrame:
-    """Add a boolean column per entry of ``quotas``: is the unit among the first so many?"""
-    total = max(sum(sizes.values()), 1)
-    digits = min(max(math.ceil(math.log(total / _UNITS_PER_BUCKET, 16)), 1), 4)
-    drawn = df.withColumn(DRAW, draw(spec.unit_id, salt, seed))
-    bucket = F.conv(F.substring(DRAW, 1, digits), 16, 10).cast("bigint")
-    placed = drawn.select(*strata, spec.unit_id, DRAW, bucket.alias(BUCKET))
-
-    def rank_of(quota: Mapping[Stratum, int]) -> Column:
-        expr = F.lit(0)
-        for stratum, wanted in quota.items():
-            here = F.lit(True)
-            for name, value in zip(strata, stratum):
-                here = here & F.col(name).eqNullSafe(F.lit(value))
-            expr = F.when(here, F.lit(wanted)).otherwise(expr)
-        return expr
+    """Add a boolean column per name: is the unit among the first so many of its stratum?
 
+    ``quotas`` has a row per stratum, with its size and a column for each name. A stratum's buckets are the first hex digits
+    of the draws, as many as its size asks for.
+    """
+    drawn = df.withColumn(DRAW, draw(spec.unit_id, salt, seed))
+    per_bucket = F.greatest(F.lit(float(_UNITS_PER_BUCKET)), F.sqrt(SIZE))
+    digits = F.greatest(F.ceil(F.log(16.0, F.col(SIZE) / per_bucket)), F.lit(0)).cast("int")
+    quotas = settled(quotas.withColumn("_digits", digits))
+    sized = match(drawn.select(*strata, spec.unit_id, DRAW), small(quotas, quotas), strata)
+    prefix = F.substring(F.col(DRAW), F.lit(1), F.col("_digits"))
+    bucket = F.coalesce(F.conv(prefix, 16, 10).cast("bigint"), F.lit(0).cast("bigint"))
     cuts = rows_at_ranks(
-        placed,
+        sized.select(*strata, spec.unit_id, DRAW, bucket.alias(BUCKET)),
         spec.unit_id,
         strata,
-        {name: rank_of(quota) for name, quota in quotas.items()},
+        {name: F.col(name) for name in names},
         order=[F.col(DRAW).asc(), F.col(spec.unit_id).asc()],
         carry=[DRAW],
+        known=quotas.select(*strata, *names),
     )
-    return within_cuts(drawn, spec.unit_id, strata, cuts, list(quotas), score=DRAW).drop(DRAW)
+    return within_cuts(drawn, spec.unit_id, strata, cuts, names, score=DRAW).drop(DRAW)
 
 
 def stratified_split(
@@ -139,13 +146,16 @@ def stratified_split(
         raise ValueError("fractions must sum to 1")
     strata = list(strata or default_strata(spec))
     sizes = stratum_sizes(df, strata)
-    first = allocate(sizes, math.floor(train * sum(sizes.values())))
-    rest = {s: n - first[s] for s, n in sizes.items()}
-    second = allocate(rest, math.floor(val / (val + test) * sum(rest.values())) if val + test else 0)
-    quotas = {"_in_train": first, "_in_val": {s: first[s] + second[s] for s in sizes}}
-    marked = _first_units(df, spec, strata, sizes, quotas, "split", seed)
+    total = sizes.agg(F.sum(SIZE)).first()[0] or 0
+    in_train = math.floor(train * total)
+    first = settled(allocate(sizes, in_train, SIZE, "_in_train", strata).withColumn("_rest_size", F.col(SIZE) - F.col("_in_train")))
+    in_val = math.floor(val / (val + test) * (total - in_train)) if val + test else 0
+    second = allocate(first, in_val, "_rest_size", "_in_val", strata)
+    quotas = second.withColumn("_in_val", F.col("_in_train") + F.col("_in_val"))
+    names = ["_in_train", "_in_val"]
+    marked = _first_units(df, spec, strata, quotas, names, "split", seed)
     split = F.when(F.col("_in_train"), "train").when(F.col("_in_val"), "val").otherwise("test")
-    return marked.withColumn("split", split).drop(*quotas)
+    return marked.withColumn("split", split).drop(*names)
 
 
 def stratified_subsample(
@@ -158,9 +168,10 @@ def stratified_subsample(
     """Exactly ``n`` units in proportion to the strata, or all of them if there are no more."""
     strata = list(strata or default_strata(spec))
     sizes = stratum_sizes(df, strata)
-    if n >= sum(sizes.values()):
+    if n >= (sizes.agg(F.sum(SIZE)).first()[0] or 0):
         return df
-    marked = _first_units(df, spec, strata, sizes, {"_kept": allocate(sizes, n)}, "subsample", seed)
+    quotas = allocate(sizes, n, SIZE, "_kept", strata)
+    marked = _first_units(df, spec, strata, quotas, ["_kept"], "subsample", seed)
     return marked.where("_kept").drop("_kept")
 
 
@@ -174,9 +185,9 @@ def stratified_holdout(
     """Add ``holdout``: true for ``ceil(test_fraction * n)`` units, stratified."""
     strata = list(strata or default_strata(spec))
     sizes = stratum_sizes(df, strata)
-    total = sum(sizes.values())
-    kept = allocate(sizes, total - math.ceil(test_fraction * total))
-    marked = _first_units(df, spec, strata, sizes, {"_kept": kept}, "holdout", seed)
+    total = sizes.agg(F.sum(SIZE)).first()[0] or 0
+    quotas = allocate(sizes, total - math.ceil(test_fraction * total), SIZE, "_kept", strata)
+    marked = _first_units(df, spec, strata, quotas, ["_kept"], "holdout", seed)
     return marked.withColumn("holdout", ~F.col("_kept")).drop("_kept")
 
 

@@ -218,7 +218,15 @@ PAIRS = """ranks AS (
     + (count(*) OVER (PARTITION BY model, tau) - 1) / CAST(2 AS DOUBLE) AS r FROM scored),
 rho AS (SELECT a.model AS model_a, b.model AS model_b, count(*) AS n, corr(a.r, b.r) AS rho
   FROM ranks a JOIN ranks b ON a.unit_id = b.unit_id AND a.model < b.model GROUP BY ALL),
-tail AS (SELECT *, abs(rho * sqrt((n - 2) / (1 - rho * rho))) / sqrt(CAST(2 AS DOUBLE)) AS x FROM rho)"""
+tail AS (SELECT *, n - 2 AS df, abs(rho * sqrt((n - 2) / (1 - rho * rho))) AS t FROM rho),
+steps AS (SELECT model_a, model_b, df, t, unnest(generate_series(0, df // 2 - 1)) AS j FROM tail),
+logs AS (SELECT *, CASE WHEN j = 0 THEN 0 ELSE ln(df / (df + t * t)) + CASE WHEN df % 2 = 0
+    THEN ln((2 * j - 1) / (2 * j)) ELSE ln(2 * j / (2 * j + 1)) END END AS step FROM steps),
+terms AS (SELECT model_a, model_b, exp(sum(step) OVER (PARTITION BY model_a, model_b ORDER BY j)) AS term FROM logs),
+series AS (SELECT model_a, model_b, sum(term) AS total FROM terms GROUP BY ALL),
+student AS (SELECT tail.*, 1 - CASE WHEN df % 2 = 0 THEN t / sqrt(df + t * t) * total
+    ELSE 2 / pi() * (atan(t / sqrt(df)) + t * sqrt(df) / (df + t * t) * coalesce(total, 0)) END AS p
+  FROM tail LEFT JOIN series USING (model_a, model_b))"""
 
 
 def _tail_points() -> str:
@@ -262,6 +270,13 @@ def oracle() -> dict[str, str]:
         c.replace("ranked AS", "m_ranked AS").replace("curve AS", "m_curve AS").replace("FROM ranked", "FROM m_ranked")
         for c in curve_ctes("scored")
     )
+    x_learner = with_(
+        GROUP_MEANS,
+        """effects AS (SELECT high, avg(mu1 - visit) FILTER (treatment = 0) AS tau0, avg(visit - mu0) FILTER (treatment = 1) AS tau1
+          FROM e JOIN means ON high = (f0 > 40) GROUP BY high)""",
+        select="""SELECT unit_id, round(tau0, 9) AS tau0, round(tau1, 9) AS tau1, round(g * tau0 + (1 - g) * tau1, 9) AS tau
+          FROM e JOIN effects ON high = (f0 > 40), (SELECT avg(treatment) AS g FROM e)""",
+    )
     sql = {
         "ab_report": with_(
             COUNTS, RATES, TEST, MDE, "tail AS (SELECT *, abs(z) / sqrt(CAST(2 AS DOUBLE)) AS x FROM mde)",
@@ -441,9 +456,13 @@ def oracle() -> dict[str, str]:
             select=f"SELECT model, split, n, {rounded(names[1:], 6)} FROM m",
         ),
         "rank_agreement": with_(
-            SCORED, PAIRS, select=f"""SELECT model_a, model_b, n, round(rho, 4) AS spearman,
-              round({erfc_sql('x')}, 6) AS p_value,
-              CASE WHEN rho > 0.6 THEN 'strong' WHEN rho > 0.3 THEN 'moderate' ELSE 'weak' END AS agreement FROM tail""",
+            SCORED, PAIRS, select="""SELECT model_a, model_b, n, round(rho, 4) AS spearman, abs(round(p, 6)) AS p_value,
+              CASE WHEN rho > 0.6 THEN 'strong' WHEN rho > 0.3 THEN 'moderate' ELSE 'weak' END AS agreement FROM student""",
+        ),
+        "rank_agreement_of_many_models": with_(
+            """scored AS (SELECT unit_id, 'm' || k AS model, f0 * (k % 5) + f1 / 1000 + f5 * (k % 7) AS tau
+              FROM e, (SELECT unnest(range(10, 22)) AS k) WHERE substr(unit_id, 1, 1) <> CAST(k % 10 AS VARCHAR))""",
+            PAIRS, select="SELECT model_a, model_b, n, round(rho, 4) AS spearman, abs(round(p, 6)) AS p_value FROM student",
         ),
         "average_ranks": with_(
             select="""SELECT 'a' AS model, unit_id, rank() OVER (ORDER BY f0 DESC)
@@ -516,13 +535,8 @@ def oracle() -> dict[str, str]:
             GROUP_MEANS,
             select="SELECT unit_id, round(mu0, 9) AS mu0, round(mu1, 9) AS mu1, round(mu1 - mu0, 9) AS tau FROM e JOIN means ON high = (f0 > 40)",
         ),
-        "x_learner_by_group": with_(
-            GROUP_MEANS,
-            """effects AS (SELECT high, avg(mu1 - visit) FILTER (treatment = 0) AS tau0, avg(visit - mu0) FILTER (treatment = 1) AS tau1
-              FROM e JOIN means ON high = (f0 > 40) GROUP BY high)""",
-            select="""SELECT unit_id, round(tau0, 9) AS tau0, round(tau1, 9) AS tau1, round(g * tau0 + (1 - g) * tau1, 9) AS tau
-              FROM e JOIN effects ON high = (f0 > 40), (SELECT avg(treatment) AS g FROM e)""",
-        ),
+        "x_learner_by_group": x_learner,
+        "x_learner_reloaded": x_learner,
         "residuals_by_group": with_(
             f"folded AS (SELECT unit_id, f0 > 40 AS high, visit, treatment, {hex_sql('fold', 1)} % 3 AS fold FROM e)",
             "parts AS (SELECT high, fold, count(*) AS n, sum(visit) AS y, sum(treatment) AS t FROM folded GROUP BY ALL)",

@@ -22,6 +22,8 @@ from liftgrid.learners.forest import (
     leaf_moments,
 )
 from liftgrid.learners.meta import (
+    TLearnerModel,
+    XLearnerModel,
     blend,
     fit_t_learner,
     fit_x_learner,
@@ -361,6 +363,19 @@ def rank_agreement(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def rank_agreement_of_many_models(spark: SparkSession, folder: str) -> DataFrame:
+    """Twelve models, some of which don't score all units."""
+    k = F.col("k")
+    scores = units(spark, folder).withColumn("k", F.explode(F.sequence(F.lit(10), F.lit(21)))).select(
+        "unit_id",
+        F.concat(F.lit("m"), k).alias("model"),
+        (F.col("f0") * (k % 5) + F.col("f1") / 1000 + F.col("f5") * (k % 7)).alias("tau"),
+        (F.substring("unit_id", 1, 1) != (k % 10).cast("string")).alias("there"),
+    )
+    pairs = agreement.rank_agreement(scores.where("there").drop("there"), "unit_id")
+    return pairs.select("model_a", "model_b", "n", "spearman", F.round("p_value", 6).alias("p_value"))
+
+
 def average_ranks(spark: SparkSession, folder: str) -> DataFrame:
     tied = units(spark, folder).select(F.lit("a").alias("model"), "unit_id", F.col("f0").alias("tau"))
     return agreement.average_ranks(tied, "unit_id")
@@ -505,6 +520,16 @@ def x_learner_by_group(spark: SparkSession, folder: str) -> DataFrame:
     return model.transform(df).select("unit_id", *[F.round(c, 9).alias(c) for c in ("tau0", "tau1", "tau")])
 
 
+def x_learner_reloaded(spark: SparkSession, folder: str) -> DataFrame:
+    """Both learners stored and read back, the second fitted on the first as read."""
+    df, place = grouped(spark, folder), f"{checkpoint_dir(spark)}/models-{uuid.uuid4().hex}"
+    fit_t_learner(df, GROUPED, None, "visit", GROUP_MEANS).save(f"{place}/t_learner")
+    base = TLearnerModel.load(f"{place}/t_learner", GROUPED, "visit")
+    fit_x_learner(base, df, None, "visit", GROUP_MEANS).save(f"{place}/x_learner")
+    model = XLearnerModel.load(f"{place}/x_learner", GROUPED, "visit")
+    return model.transform(df).select("unit_id", *[F.round(c, 9).alias(c) for c in ("tau0", "tau1", "tau")])
+
+
 def residuals_by_group(spark: SparkSession, folder: str) -> DataFrame:
     rows = cross_fit_residuals(grouped(spark, folder), GROUPED, "visit", 3, GROUP_MEANS, GROUP_MEANS)
     return rows.select("unit_id", *[F.round(c, 9).alias(c) for c in ("ry", "rt")])
@@ -634,10 +659,10 @@ ALL: dict[str, Query] = {
         decile_table, score_summary, permutation_check,
         bootstrap_weights, bootstrap_metrics, bootstrap_interval, bootstrap_interval_full,
         bootstrap_means, evaluation_report, leaderboard, split_metrics,
-        rank_agreement, average_ranks, alignment_report, percentiles, winsorized_rows,
+        rank_agreement, rank_agreement_of_many_models, average_ranks, alignment_report, percentiles, winsorized_rows,
         winsorize_report, last_deciles, tail_diagnosis, tail_interval,
         imputed_effects, imputed_effect_summary, blended_effects, honest_leaf_moments,
-        t_learner_by_group, x_learner_by_group, residuals_by_group, honest_tree_effects,
+        t_learner_by_group, x_learner_by_group, x_learner_reloaded, residuals_by_group, honest_tree_effects,
         placebo_scores_by_group, feature_vectors, winsorized_rows_by_null_group, percentiles_by_null_group,
         t_learner, x_learner, residuals, causal_forest, dual_head,
         placebo_test, placebo_verdict, control_pool,

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 import numpy as np
 import pandas as pd
@@ -19,10 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from liftgrid.learners.manifest import stored, storing
 from liftgrid.session import keep
 from liftgrid.spec import ExperimentSpec
 
 _COMBINERS = 16
+HISTORY = "epoch int, loss double, val_loss double, rate double"
 
 
 @dataclass(frozen=True)
@@ -195,6 +197,7 @@ class DualHeadModel:
     params: NetParams
     weights: np.ndarray
     history: tuple[tuple[int, float, float, float], ...] = ()
+    outcome: str | None = None
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Add ``tau``, the difference of the two predicted probabilities."""
@@ -209,15 +212,22 @@ class DualHeadModel:
         return df.withColumn("tau", effect(*[F.col(c).cast("double") for c in self.spec.features]))
 
     def save(self, path: str) -> None:
-        spark = SparkSession.active()
+        """Store weights, settings and the training history (epoch, training loss, validation loss, rate)."""
+        spark, y = SparkSession.active(), self.outcome or self.spec.primary_outcome
         rows = [(i, float(v)) for i, v in enumerate(self.weights)]
-        frame = spark.createDataFrame(rows, "position int, weight double").coalesce(1)
-        frame.write.mode("overwrite").parquet(path)
+        weights = spark.createDataFrame(rows, "position int, weight double").coalesce(1)
+        history = spark.createDataFrame(list(self.history), HISTORY).coalesce(1)
+        with storing(path, "dual_head", self.spec, y, asdict(self.params)):
+            weights.write.mode("overwrite").parquet(f"{path}/weights")
+            history.write.mode("overwrite").parquet(f"{path}/history")
 
     @staticmethod
-    def load(path: str, spec: ExperimentSpec, params: NetParams = NetParams()) -> DualHeadModel:
-        rows = SparkSession.active().read.parquet(path).orderBy("position").toPandas()
-        return DualHeadModel(spec, params, rows["weight"].to_numpy())
+    def load(path: str, spec: ExperimentSpec, outcome: str | None = None) -> DualHeadModel:
+        known, read = stored(path, "dual_head", spec, outcome), SparkSession.active().read
+        weights = read.parquet(f"{path}/weights").orderBy("position").toPandas()["weight"].to_numpy()
+        history = read.parquet(f"{path}/history").orderBy("epoch").collect()
+        params = NetParams(**known["settings"])
+        return DualHeadModel(spec, params, weights, tuple(map(tuple, history)), known["outcome"])
 
 
 def _train_epoch(
@@ -341,4 +351,4 @@ def fit_dual_head(
             break
     rows.unpersist()
     held.unpersist()
-    return DualHeadModel(spec, params, best_flat, tuple(history))
+    return DualHeadModel(spec, params, best_flat, tuple(history), y)

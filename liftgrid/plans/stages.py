@@ -154,9 +154,10 @@ def split_and_scale(
 
 
 def _store_scores(
-    scored: DataFrame, workspace: Workspace, spec: ExperimentSpec, name: str
+    scored: DataFrame, workspace: Workspace, spec: ExperimentSpec, name: str, outcome: str
 ) -> None:
-    tables.write_predictions(long_predictions(scored, spec, name, "split"), workspace.predictions)
+    rows = long_predictions(scored, spec, name, "split").withColumn("outcome", F.lit(outcome))
+    tables.write_predictions(rows, workspace.predictions)
 
 
 def train(
@@ -170,10 +171,11 @@ def train(
 ) -> DataFrame:
     """Fit one learner, save it, store its scores of val and test rows, return split metrics."""
     fit_rows, val, test = tables.read_splits(spark, workspace.splits, "train", "val", "test")
+    outcome = outcome or spec.primary_outcome
     if model == "t_learner":
         fitted = fit_t_learner(fit_rows, spec, val, outcome, params or OUTCOME_PARAMS)
     elif model == "x_learner":
-        base = TLearnerModel.load(workspace.model("t_learner"), spec)
+        base = TLearnerModel.load(workspace.model("t_learner"), spec, outcome)
         fitted = fit_x_learner(base, fit_rows, val, outcome, params or EFFECT_PARAMS)
     elif model == "causal_forest":
         if forest_units:
@@ -184,19 +186,26 @@ def train(
     else:
         raise ValueError(f"unknown model {model}; expected one of {MODELS}")
     fitted.save(workspace.model(model))
-    _store_scores(fitted.transform(val.unionAll(test)), workspace, spec, model)
+    _store_scores(fitted.transform(val.unionAll(test)), workspace, spec, model, outcome)
     return split_metrics(stored_scores(spark, workspace, spec, [model], outcome), spec, outcome)
 
 
-def load_model(workspace: Workspace, spec: ExperimentSpec, name: str):
-    """A saved learner, ready to score any scaled table."""
+def load_model(workspace: Workspace, spec: ExperimentSpec, name: str, outcome: str | None = None):
+    """A saved learner, ready to score any scaled table; one fitted for another outcome raises."""
     kinds = {
         "t_learner": TLearnerModel,
         "x_learner": XLearnerModel,
         "causal_forest": HonestForestModel,
         "dual_head": DualHeadModel,
     }
-    return kinds[name].load(workspace.model(name), spec)
+    return kinds[name].load(workspace.model(name), spec, outcome)
+
+
+def _scores_for(predictions: DataFrame, outcome: str) -> DataFrame:
+    """The same rows; using a score of a model that was fitted for another outcome raises."""
+    fitted = F.coalesce("outcome", F.lit("no outcome"))
+    told = F.concat(F.lit("scores of "), "model", F.lit(" were fitted for "), fitted, F.lit(f", not {outcome}"))
+    return predictions.withColumn("tau", F.when(F.col("outcome") == outcome, F.col("tau")).otherwise(F.raise_error(told)))
 
 
 def stored_scores(
@@ -207,9 +216,14 @@ def stored_scores(
     outcome: str | None = None,
     split: str | None = None,
 ) -> DataFrame:
-    """Predictions joined to their units by key."""
+    """Predictions joined to their units by key.
+
+    Scores that a stage stored for another outcome raise; a table without that column is taken as it is.
+    """
     units = spark.read.parquet(workspace.splits).where(F.col("split") != "train")
     predictions = tables.read_predictions(spark, workspace.predictions, spec, models).drop("split")
+    if "outcome" in predictions.columns:
+        predictions = _scores_for(predictions, outcome or spec.primary_outcome).drop("outcome")
     joined = attach_predictions(units, predictions, spec, outcome)
     return joined.where(F.col("split") == split) if split else joined
 

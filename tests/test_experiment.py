@@ -6,7 +6,7 @@ from statistics import NormalDist
 import pytest
 from pyspark.sql import functions as F
 
-from liftgrid.functions.normal import detectable_shift, erfc, two_sided_p
+from liftgrid.functions.normal import detectable_shift, erfc, two_sided_p, two_sided_t
 from liftgrid.operators import abtest, balance, quality
 from liftgrid.spec import ExperimentSpec
 
@@ -49,6 +49,26 @@ def test_erfc_matches_the_library(spark):
     assert p == pytest.approx(0.05, rel=1e-10)
 
 
+def student_tail(t: float, df: int) -> float:
+    """The finite series for whole degrees of freedom."""
+    c2 = df / (df + t * t)
+    terms, now = [], 1.0
+    for j in range(df // 2):
+        now *= 1.0 if j == 0 else c2 * ((2 * j - 1) / (2 * j) if df % 2 == 0 else 2 * j / (2 * j + 1))
+        terms.append(now)
+    inside = t / math.sqrt(df + t * t) * math.fsum(terms)
+    return 1 - (inside if df % 2 == 0 else 2 / math.pi * (math.atan(t / math.sqrt(df)) + math.sqrt(c2) * inside))
+
+
+def test_student_tail_equals_its_series(spark):
+    cases = [(t, n) for n in (1, 2, 3, 4, 5, 10, 31, 999, 1000, 1001, 1002, 20_001) for t in (0.0, 0.01, 0.7, 1.9, 3.2, 6.0)]
+    rows = spark.createDataFrame(cases, "t double, df long").select("t", "df", two_sided_t(-F.col("t"), F.col("df")).alias("p"))
+    for r in rows.collect():
+        assert r["p"] == pytest.approx(student_tail(r["t"], r["df"]), abs=1e-10)
+    far = spark.range(1).select(two_sided_t(F.lit(1e6), F.lit(2)).alias("p")).first()["p"]
+    assert far == pytest.approx(1e-12, rel=1e-9)
+
+
 def test_detectable_shift_counts_both_tails():
     delta, phi = detectable_shift(0.05, 0.8), NormalDist().cdf
     crit = NormalDist().inv_cdf(0.975)

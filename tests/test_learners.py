@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -8,9 +9,11 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from liftgrid.catalog.queries import splits
-from liftgrid.learners import boosting, dualhead, forest, meta
-from liftgrid.operators import placebo
+from liftgrid.learners import boosting, dualhead, forest, manifest, meta
+from liftgrid.operators import placebo, sampling
 from liftgrid.operators.quality import arm_rows
+from liftgrid.plans import stages
+from liftgrid.sources import tables
 from liftgrid.spec import ExperimentSpec
 
 TRIAL = boosting.BoostParams(rounds=8, depth=3, step=0.3, min_leaf=20, patience=4)
@@ -167,15 +170,47 @@ def test_growing_horizon_equals_the_whole_run_cut_at_its_best_round(parts, spec)
 
 
 def test_dual_head_finds_the_planted_effect(parts, spec, tmp_path):
-    params = dualhead.NetParams(batch=256, rate=3e-3, epochs=6)
+    params = dualhead.NetParams(batch=256, rate=3e-3, epochs=6, shared=48, head=20)
     model = dualhead.fit_dual_head(parts[0], parts[1], spec, "visit", params)
     low, high = separation(model.transform(parts[2]))
     assert high - low > 0.02
     model.save(str(tmp_path / "n"))
-    again = dualhead.DualHeadModel.load(str(tmp_path / "n"), spec, params)
+    again = dualhead.DualHeadModel.load(str(tmp_path / "n"), spec)
+    assert again.params == params and again.outcome == "visit" and again.history == model.history
     assert separation(again.transform(parts[2])) == pytest.approx((low, high), abs=1e-12)
 
 
+def test_models_are_not_taken_for_others(parts, spec, two_models, tmp_path):
+    path = str(tmp_path / "t")
+    two_models.save(path)
+    assert meta.TLearnerModel.load(path, spec, "visit").outcome == "visit"
+    with pytest.raises(ValueError, match="outcome 'visit', not 'conversion'"):
+        meta.TLearnerModel.load(path, spec, "conversion")
+    with pytest.raises(ValueError, match="features"):
+        meta.TLearnerModel.load(path, replace(spec, features=spec.features[:3]))
+    with pytest.raises(ValueError, match="kind 't_learner'"):
+        meta.XLearnerModel.load(path, spec)
+    with pytest.raises(ValueError, match="fitted for 'visit'"):
+        meta.fit_x_learner(two_models, parts[0], parts[1], "conversion", TRIAL)
+    with pytest.raises(RuntimeError), manifest.storing(path, "t_learner", spec, "visit"):
+        raise RuntimeError("lost half way")
+    with pytest.raises(FileNotFoundError):
+        meta.TLearnerModel.load(path, spec)
+
+
+def test_stages_know_the_outcome_of_stored_scores(spark, units, spec, tmp_path):
+    workspace = stages.Workspace(str(tmp_path))
+    tables.write_splits(sampling.stratified_split(units, spec).repartition(2), workspace.splits)
+    stages.train(spark, workspace, spec, "t_learner", "visit", TRIAL)
+    assert stages.load_model(workspace, spec, "t_learner", "visit").outcome == "visit"
+    with pytest.raises(ValueError, match="not 'conversion'"):
+        stages.train(spark, workspace, spec, "x_learner", None, TRIAL)
+    scores = stages.stored_scores(spark, workspace, spec, None, "visit", "test")
+    assert scores.agg(F.count("tau")).first()[0] == 900 and "outcome" not in scores.columns
+    with pytest.raises(Exception, match="scores of t_learner were fitted for visit, not conversion"):
+        stages.evaluate(spark, workspace, spec, replicates=2)
+
+
 def test_gradient_matches_differences():
     p = dualhead.NetParams(shared=5, head=4, dropout=0.0)
     rng = np.random.default_rng(0)

@@ -128,6 +128,9 @@ def split_ctes(strata: str = "treatment, conversion", source: str = "e") -> tupl
 
 
 SPLIT = split_ctes()
+SCALES = "stats AS (SELECT " + ", ".join(
+    f"avg({c}) AS m_{c}, CASE WHEN stddev_pop({c}) = 0 THEN 1 ELSE stddev_pop({c}) END AS s_{c}"
+    for c in SPEC.features) + " FROM split WHERE split = 'train')"
 
 MASK = "CAST(4294967295 AS BIGINT)"
 
@@ -277,6 +280,18 @@ def oracle() -> dict[str, str]:
         select="""SELECT unit_id, round(tau0, 9) AS tau0, round(tau1, 9) AS tau1, round(g * tau0 + (1 - g) * tau1, 9) AS tau
           FROM e JOIN effects ON high = (f0 > 40), (SELECT avg(treatment) AS g FROM e)""",
     )
+    verdict = (
+        "p AS (SELECT unit_id, (f5 - 25.5) / 1000 AS tau FROM e WHERE treatment = 0)", *weight_ctes("p", PLACEBO_DRAWS),
+        "means AS (SELECT replicate, sum(w * tau) / sum(w) AS m FROM p JOIN weights USING (unit_id) GROUP BY replicate)",
+        "ci AS (SELECT quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM means)",
+        "s AS (SELECT count(*) AS n, avg(tau) AS mean, stddev_pop(tau) AS std FROM p)",
+        "r AS (SELECT abs(avg(conversion) FILTER (treatment = 1) - avg(conversion) FILTER (treatment = 0)) AS ate FROM e)",
+    )
+    verdict_columns = """n AS n_scored, round(mean, 6) AS tau_mean, round(std, 6) AS tau_std, round(low, 6) AS ci_low,
+        round(high, 6) AS ci_high, low <= 0 AND high >= 0 AS statistical_check_pass, round(ate, 6) AS real_ate,
+        round(abs(mean) / ate * 100, 3) AS practical_ratio_pct, CAST(10 AS DOUBLE) AS practical_threshold_pct,
+        abs(mean) / ate < 0.1 AS practical_check_pass,
+        CASE WHEN abs(mean) / ate < 0.1 THEN 'PASS' ELSE 'FAIL' END AS overall_verdict"""
     sql = {
         "ab_report": with_(
             COUNTS, RATES, TEST, MDE, "tail AS (SELECT *, abs(z) / sqrt(CAST(2 AS DOUBLE)) AS x FROM mde)",
@@ -334,7 +349,9 @@ def oracle() -> dict[str, str]:
             *split_ctes("treatment, price", "priced"), select="SELECT unit_id, split FROM split",
         ),
         "split_round_trip": with_(
-            *SPLIT, select="SELECT unit_id, split, treatment, conversion FROM split WHERE split = 'test'"
+            *SPLIT, SCALES, select="SELECT unit_id, split, treatment, conversion, " + ", ".join(
+                f"round(CAST(CAST(({c} - m_{c}) / s_{c} AS FLOAT) AS DOUBLE), 5) AS {c}" for c in SPEC.features)
+            + " FROM split, stats WHERE split = 'test'"
         ),
         "split_summary": with_(
             *SPLIT, select="""SELECT split, count(*) AS n, round(avg(treatment), 6) AS treat_ratio,
@@ -343,11 +360,7 @@ def oracle() -> dict[str, str]:
               FROM split GROUP BY split""",
         ),
         "scaled_features": with_(
-            *SPLIT,
-            "stats AS (SELECT " + ", ".join(
-                f"avg({c}) AS m_{c}, CASE WHEN stddev_pop({c}) = 0 THEN 1 ELSE stddev_pop({c}) END AS s_{c}"
-                for c in SPEC.features) + " FROM split WHERE split = 'train')",
-            select="SELECT unit_id, split, " + ", ".join(
+            *SPLIT, SCALES, select="SELECT unit_id, split, " + ", ".join(
                 f"round(({c} - m_{c}) / s_{c}, 6) AS {c}" for c in SPEC.features) + " FROM split, stats",
         ),
         "scaler_state": with_(
@@ -442,6 +455,11 @@ def oracle() -> dict[str, str]:
               abs(q) < 0.1 * abs(a) AS sanity_pass, top_decile_lift
               FROM m JOIN s USING (model) JOIN ci USING (model) JOIN d USING (model)""",
         ),
+        "evaluation_deciles": with_(
+            SCORED, curve_ctes("scored")[0],
+            select=f"""SELECT model, {DECILE} AS decile, count(*) AS n, round(avg(tau), 6) AS mean_predicted_tau,
+              round({CELL_LIFT}, 6) AS observed_lift FROM ranked GROUP BY model, decile""",
+        ),
         "leaderboard": with_(
             SCORED, *curve_ctes("scored"), f"m AS (SELECT model, count(*) AS n, {metrics} FROM curve GROUP BY model)",
             select=f"""SELECT model, n, {rounded(('qini', 'auuc', 'uplift_at_10pct', 'uplift_at_20pct', 'ate'), 6)},
@@ -575,17 +593,11 @@ def oracle() -> dict[str, str]:
             select="""SELECT region, decile, count(*) AS n, round(min(tau), 6) AS tau_min, round(quantile_cont(tau, 0.5), 6) AS tau_p50,
               round(max(tau), 6) AS tau_max FROM tenths WHERE decile IN (1, 9, 10) GROUP BY region, decile""",
         ),
-        "placebo_verdict": with_(
-            "p AS (SELECT unit_id, (f5 - 25.5) / 1000 AS tau FROM e WHERE treatment = 0)", *weight_ctes("p", PLACEBO_DRAWS),
-            "means AS (SELECT replicate, sum(w * tau) / sum(w) AS m FROM p JOIN weights USING (unit_id) GROUP BY replicate)",
-            "ci AS (SELECT quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM means)",
-            "s AS (SELECT count(*) AS n, avg(tau) AS mean, stddev_pop(tau) AS std FROM p)",
-            "r AS (SELECT abs(avg(conversion) FILTER (treatment = 1) - avg(conversion) FILTER (treatment = 0)) AS ate FROM e)",
-            select="""SELECT n AS n_scored, round(mean, 6) AS tau_mean, round(std, 6) AS tau_std, round(low, 6) AS ci_low,
-              round(high, 6) AS ci_high, low <= 0 AND high >= 0 AS statistical_check_pass, round(ate, 6) AS real_ate,
-              round(abs(mean) / ate * 100, 3) AS practical_ratio_pct, CAST(10 AS DOUBLE) AS practical_threshold_pct,
-              abs(mean) / ate < 0.1 AS practical_check_pass,
-              CASE WHEN abs(mean) / ate < 0.1 THEN 'PASS' ELSE 'FAIL' END AS overall_verdict FROM s, ci, r""",
+        "placebo_verdict": with_(*verdict, select=f"SELECT {verdict_columns} FROM s, ci, r"),
+        "placebo_report": with_(
+            *verdict, "pool AS (SELECT count(*) AS n_control_pool, round(avg(conversion), 9) AS base_rate FROM e WHERE treatment = 0)",
+            select=f"""SELECT n_control_pool, '50/50 symmetric' AS pseudo_assignment, base_rate, {verdict_columns}
+              FROM s, ci, r, pool""",
         ),
         "control_pool": with_(
             select="""SELECT count(*) AS n_control_pool, round(avg(conversion), 9) AS base_rate FROM e WHERE treatment = 0"""

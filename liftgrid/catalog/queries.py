@@ -344,6 +344,12 @@ def evaluation_report(spark: SparkSession, folder: str) -> DataFrame:
     return flat
 
 
+def evaluation_deciles(spark: SparkSession, folder: str) -> DataFrame:
+    """All deciles of the evaluation report."""
+    r = evaluation.evaluation_report(scored(spark, folder), SPEC, replicates=2)
+    return r.select("model", F.inline("decile_table")).select("model", "decile", "n", "mean_predicted_tau", "observed_lift")
+
+
 def leaderboard(spark: SparkSession, folder: str) -> DataFrame:
     return evaluation.leaderboard(scored(spark, folder), SPEC)
 
@@ -603,6 +609,11 @@ def control_pool(spark: SparkSession, folder: str) -> DataFrame:
     return pool.withColumn("base_rate", F.round("base_rate", 9))
 
 
+def placebo_report(spark: SparkSession, folder: str) -> DataFrame:
+    pool = placebo.control_pool(units(spark, folder), SPEC)
+    return placebo.placebo_report(pool, placebo_verdict(spark, folder))
+
+
 # Sources and sinks
 
 
@@ -623,7 +634,8 @@ def arm_table_round_trip(spark: SparkSession, folder: str) -> DataFrame:
 def split_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     test = _test(spark, folder)
     return test.select(
-        "unit_id", "split", F.col("treatment").cast("int").alias("treatment"), F.col("conversion").cast("int").alias("conversion")
+        "unit_id", "split", F.col("treatment").cast("int").alias("treatment"), F.col("conversion").cast("int").alias("conversion"),
+        *[F.round(F.col(c).cast("double"), 5).alias(c) for c in SPEC.features],
     )
 
 
@@ -658,14 +670,14 @@ ALL: dict[str, Query] = {
         uplift_curve, uplift_curve_tied, ranking_metrics, ranking_metrics_visit, uplift_at_k,
         decile_table, score_summary, permutation_check,
         bootstrap_weights, bootstrap_metrics, bootstrap_interval, bootstrap_interval_full,
-        bootstrap_means, evaluation_report, leaderboard, split_metrics,
+        bootstrap_means, evaluation_report, evaluation_deciles, leaderboard, split_metrics,
         rank_agreement, rank_agreement_of_many_models, average_ranks, alignment_report, percentiles, winsorized_rows,
         winsorize_report, last_deciles, tail_diagnosis, tail_interval,
         imputed_effects, imputed_effect_summary, blended_effects, honest_leaf_moments,
         t_learner_by_group, x_learner_by_group, x_learner_reloaded, residuals_by_group, honest_tree_effects,
         placebo_scores_by_group, feature_vectors, winsorized_rows_by_null_group, percentiles_by_null_group,
         t_learner, x_learner, residuals, causal_forest, dual_head,
-        placebo_test, placebo_verdict, control_pool,
+        placebo_test, placebo_verdict, placebo_report, control_pool,
         csv_round_trip, arm_table_round_trip, split_round_trip, prediction_round_trip,
         counts_round_trip, combined_report,
     )

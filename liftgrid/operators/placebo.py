@@ -84,3 +84,15 @@ def control_pool(df: DataFrame, spec: ExperimentSpec, outcome: str | None = None
     return arm_rows(df, spec, 0).agg(
         F.count(F.lit(1)).alias("n_control_pool"), F.avg(y).alias("base_rate")
     )
+
+
+def placebo_report(pool: DataFrame, verdict: DataFrame, share: float = 0.5) -> DataFrame:
+    """The verdict of :func:`placebo_verdict` with the pool of :func:`control_pool` and the assignment, in one row.
+
+    ``base_rate`` is what both outcome models start from, as the arms are halves of one pool.
+    """
+    treated = round(100 * share)
+    told = f"{treated}/{100 - treated}{' symmetric' if share == 0.5 else ''}"
+    rows = pool.select("n_control_pool", F.lit(told).alias("pseudo_assignment"), F.round("base_rate", 9).alias("base_rate"))
+    # Both sides are one row of an ungrouped aggregate.
+    return rows.join(F.broadcast(verdict))

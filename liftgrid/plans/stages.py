@@ -29,7 +29,7 @@ from liftgrid.operators.evaluation import (
     leaderboard,
     split_metrics,
 )
-from liftgrid.operators.placebo import placebo_scores, placebo_verdict
+from liftgrid.operators.placebo import control_pool, placebo_report, placebo_scores, placebo_verdict
 from liftgrid.operators.tails import diagnose_tail, winsorize_report
 from liftgrid.session import keep
 from liftgrid.sources import tables
@@ -272,7 +272,8 @@ def placebo_test(
     (fit_rows,) = tables.read_splits(spark, workspace.splits, "train")
     scores = placebo_scores(fit_rows, spec, y, params)
     verdict = placebo_verdict(scores, spec.unit_id, real or 0.0, replicates)
-    return _reported(verdict, workspace.report("placebo_test"))
+    report = placebo_report(control_pool(fit_rows, spec, y), verdict)
+    return _reported(report, workspace.report("placebo_test"))
 
 
 def tail_report(

@@ -239,6 +239,20 @@ def _tail_points() -> str:
     )
 
 
+# Poisson counts at shares from digests: the last count whose smaller counts have less than the share.
+RESAMPLED = """cells AS (SELECT model, decile, unnest([0, 1, 2, 3]) AS cell, unnest([x1, n1 - x1, x0, n0 - x0]) AS size FROM tail),
+sizes AS (SELECT DISTINCT size FROM cells),
+spread AS (SELECT size, unnest(generate_series(CAST(greatest(0, floor(size - 12 * sqrt(size) - 40)) AS BIGINT),
+    CAST(ceil(size + 12 * sqrt(size) + 40) AS BIGINT))) AS k FROM sizes),
+chance AS (SELECT size, k, CASE WHEN size > 0 THEN exp(k * ln(size) - size - lgamma(k + 1)) WHEN k = 0 THEN 1 ELSE 0 END AS p FROM spread),
+below AS (SELECT size, k, coalesce(sum(p) OVER (PARTITION BY size ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS less FROM chance),
+draws AS (SELECT *, (CAST(CAST('0x' || substr(md5(model || '|' || decile || ':' || draw || ':' || cell || ':42'), 1, 13) AS BIGINT) AS DOUBLE)
+    + CAST(0.5 AS DOUBLE)) / 4503599627370496 AS share FROM cells, range(500) AS r(draw)),
+counted AS (SELECT draws.*, below.k FROM draws ASOF JOIN below ON draws.size = below.size AND draws.share > below.less),
+resampled AS (SELECT model, decile, draw, CAST(max(k) FILTER (cell = 0) AS DOUBLE) AS s1, max(k) FILTER (cell = 1) AS f1,
+    CAST(max(k) FILTER (cell = 2) AS DOUBLE) AS s0, max(k) FILTER (cell = 3) AS f0 FROM counted GROUP BY ALL),
+ends AS (SELECT model, decile, quantile_cont(s1 / (s1 + f1) - s0 / (s0 + f0), 0.025) AS low,
+    quantile_cont(s1 / (s1 + f1) - s0 / (s0 + f0), 0.975) AS high FROM resampled WHERE s1 + f1 > 0 AND s0 + f0 > 0 GROUP BY ALL)"""
 GROUP_MEANS = """means AS (SELECT f0 > 40 AS high, avg(visit) FILTER (treatment = 0) AS mu0, avg(visit) FILTER (treatment = 1) AS mu1
   FROM e GROUP BY 1)"""
 REGIONS = """regions AS (SELECT unit_id, f1, f0 + f5 / 10 AS tau,
@@ -530,6 +544,15 @@ def oracle() -> dict[str, str]:
               round({CELL_LIFT}, 6) AS observed_lift, {_tail_points()}
               FROM d WHERE decile IN (1, 9, 10) GROUP BY model, decile""",
         ),
+        "tail_interval": with_(
+            SCORED, curve_ctes("scored")[0], f"d AS (SELECT *, {DECILE} AS decile FROM ranked)",
+            f"""tail AS (SELECT model, decile, count(*) FILTER (t = 1) AS n1, CAST(sum(y * t) AS BIGINT) AS x1,
+              count(*) FILTER (t = 0) AS n0, CAST(sum(y * (1 - t)) AS BIGINT) AS x0, {CELL_LIFT} AS lift
+              FROM d WHERE decile IN (1, 9, 10) GROUP BY model, decile)""",
+            RESAMPLED,
+            select="""SELECT model, decile, round(lift, 6) AS observed_lift, round(low, 6) AS lift_low, round(high, 6) AS lift_high,
+              low <= 0 AND high >= 0 AS contains_zero FROM tail LEFT JOIN ends USING (model, decile)""",
+        ),
         "imputed_effects": with_(
             select="""SELECT unit_id, round(CASE WHEN treatment = 1 THEN conversion - f2 / 4 ELSE f3 / 2 - conversion END, 9)
               AS effect FROM e"""

@@ -452,6 +452,12 @@ def oracle() -> dict[str, str]:
             SCORED, *boot_model, *curve_ctes("drawn_rows", "model, replicate"), interval,
             select=f"SELECT model, {rounded(('qini_low', 'qini_high', 'auuc_low', 'auuc_high'), 8)} FROM ci",
         ),
+        "bootstrap_interval_full": with_(
+            ONE_SCORE, *weight_ctes("e"), resample("one"), *curve_ctes("drawn_rows", "replicate"),
+            f"per AS (SELECT replicate, {AUUC} AS auuc, {QINI} AS qini FROM curve GROUP BY replicate)",
+            select="""SELECT round(quantile_cont(qini, 0.025), 8) AS qini_low, round(quantile_cont(qini, 0.975), 8) AS qini_high,
+              round(quantile_cont(auuc, 0.025), 8) AS auuc_low, round(quantile_cont(auuc, 0.975), 8) AS auuc_high FROM per""",
+        ),
         "bootstrap_means": with_(
             SCORED, *weight_ctes("e"),
             select="""SELECT model, replicate, CAST(sum(w) AS BIGINT) AS n, round(sum(w * tau) / sum(w), 6) AS mean

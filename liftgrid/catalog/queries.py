@@ -314,7 +314,8 @@ def bootstrap_interval(spark: SparkSession, folder: str) -> DataFrame:
 def bootstrap_interval_full(spark: SparkSession, folder: str) -> DataFrame:
     """The usual 200 replicates."""
     m = bootstrap.bootstrap_metrics(one_score(spark, folder), SPEC, replicates=200, ks=())
-    return bootstrap.percentile_interval(m, ["qini", "auuc"])
+    ci = bootstrap.percentile_interval(m, ["qini", "auuc"])
+    return ci.select([F.round(c, 8).alias(c) for c in ci.columns])
 
 
 def bootstrap_means(spark: SparkSession, folder: str) -> DataFrame:

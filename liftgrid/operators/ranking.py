@@ -22,7 +22,7 @@ from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -33,7 +33,7 @@ BUCKET = "_bucket"
 SCORE = "_score"
 
 ROWS_PER_BUCKET = 10_000
-MIN_LIMIT, MAX_LIMIT = 2048, 8192  # most buckets asked for, by size of the cluster
+MIN_LIMIT, MAX_LIMIT = 2048, 1 << 16  # bounds of the most score buckets; the sketch holds about as many scores
 _SUB_SPAN = 2**21
 _SAMPLED = 64  # rows of a tied score that are looked at for each bucket
 _BOUNDED_ROWS = 1_000_000
@@ -106,35 +106,46 @@ def _not_above(cuts: Column, size: int, value: Column) -> Column:
     return F.aggregate(step, F.lit(0), halve)
 
 
-def _even_cuts(value: str | Column, parts: int) -> Column:
-    """Approximate values at 1/parts, 2/parts, ...; the list is one literal to keep plans small."""
-    probs = ",".join(repr(i / parts) for i in range(1, parts))
-    return F.percentile_approx(
-        value, F.split(F.lit(probs), ",").cast("array<double>"), F.lit(4 * parts)
+def _sketch(scored: DataFrame, size: int = MAX_LIMIT - 1) -> tuple[int, bytes | None]:
+    """Number of rows, and a mergeable quantile sketch of the scores.
+
+    Task ``i`` sends its sketch to merger ``floor(sqrt(i))``, so that no task, the last one included, merges
+    more than about twice the root of the number of tasks.
+    """
+    merger = F.floor(F.sqrt(F.spark_partition_id()))
+    parts = scored.select(SCORE, merger.alias("_merger")).groupBy("_merger").agg(
+        F.count(F.lit(1)).alias("_n"), F.kll_sketch_agg_double(SCORE, size).alias("_sketch")
     )
+    found = parts.agg(F.sum("_n").alias("n"), F.kll_merge_agg_double("_sketch", size).alias("sketch")).first()
+    return found.n or 0, found.sketch and bytes(found.sketch)
+
+
+def _even_cuts(spark: SparkSession, sketch: bytes, parts: int) -> list[float]:
+    """Approximate values at 1/parts, 2/parts, ... of the scores in the sketch; the list is one literal to keep plans small."""
+    listed = ",".join(repr(i / parts) for i in range(1, parts))
+    ranks = F.split(F.lit(listed), ",").cast("array<double>")
+    one = spark.createDataFrame([(bytearray(sketch),)], "sketch binary")
+    return one.select(F.kll_sketch_get_quantile_double("sketch", ranks)).first()[0]
 
 
 def fit_buckets(
     scored: DataFrame,
     unit_id: str,
     rows_per_bucket: int = ROWS_PER_BUCKET,
-    max_buckets: int | None = None,
     split_ties: bool = True,
 ) -> Buckets:
     """Fit cut values so that no bucket holds much more than 1/n-th of the rows.
 
     One pass with a mergeable sketch, and a second over tied scores only when a score repeats
-    often enough to fill several buckets. At most ``max_buckets`` scores and as many keys reach the driver.
+    often enough to fill several buckets. There are as many buckets as the rows fill; beyond ``MIN_LIMIT`` their number and
+    their size both grow as the root of the rows, so at most ``MAX_LIMIT`` scores and as many keys reach the driver.
     Scores of all groups are pooled: a bucket of one group never exceeds the pooled bucket.
     """
-    if max_buckets is None:
-        cores = scored.sparkSession.sparkContext.defaultParallelism
-        max_buckets = min(max(MIN_LIMIT, 2 * cores), MAX_LIMIT)
-    found = scored.agg(F.count(F.lit(1)).alias("n"), _even_cuts(SCORE, max_buckets).alias("cuts")).first()
-    wanted = min(max_buckets, math.ceil(found.n / rows_per_bucket)) if found.n else 1
+    rows, sketch = _sketch(scored)
+    wanted = min(math.ceil(rows / rows_per_bucket), max(MIN_LIMIT, math.isqrt(rows)), MAX_LIMIT)
     if wanted < 2:
-        return Buckets(rows=found.n)
-    cuts = [found.cuts[round(i * max_buckets / wanted) - 1] for i in range(1, wanted)]
+        return Buckets(rows=rows)
+    cuts = _even_cuts(scored.sparkSession, sketch, wanted)
     repeats = Counter(cuts)
     edges = {-math.inf, math.inf}
     for value, count in repeats.items():
@@ -143,10 +154,10 @@ def fit_buckets(
             edges.add(math.nextafter(value, math.inf))
     splits = sorted(edges)
     if len(splits) < 3:
-        return Buckets(rows=found.n)
+        return Buckets(rows=rows)
     tied = sorted(v for v, c in repeats.items() if c > 2 and split_ties)
-    keys = _tied_keys(scored, unit_id, tied, found.n / wanted) if tied else []
-    return Buckets(found.n, splits, keys, tied)
+    keys = _tied_keys(scored, unit_id, tied, rows / wanted) if tied else []
+    return Buckets(rows, splits, keys, tied)
 
 
 def _tied_keys(scored: DataFrame, unit_id: str, tied: Sequence[float], per_bucket: float) -> list[str]:

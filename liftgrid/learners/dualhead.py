@@ -1,10 +1,11 @@
 """Dual-head network: a shared representation with one output head per arm.
 
-Training alternates between tasks and driver. In each epoch every task starts from the current
-weights, runs minibatch steps over its own partition and returns its weights; these are averaged
-in proportion to rows, first among groups of tasks on executors and then on the driver. An epoch
-is therefore one scan of the training rows, however many rows there are, and what reaches the
-driver is a fixed number of weight vectors.
+Training alternates between tasks and driver. Units are dealt to learners, and ordered in them, by a digest of
+their key. In each epoch every learner starts from the current weights, runs minibatch steps over its rows
+and returns its weights; these are averaged in proportion to rows, first among groups of learners on
+executors and then on the driver, always in the same order. An epoch is therefore one scan of the training
+rows, however many rows there are, a bounded number of weight vectors reaches the driver, and the result
+follows from the rows alone, not from partitions or cores. With one learner it is a single minibatch sequence.
 """
 
 from __future__ import annotations
@@ -16,20 +17,24 @@ from dataclasses import asdict, dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from liftgrid.functions.hashing import draw
 from liftgrid.learners.manifest import stored, storing
 from liftgrid.session import keep
 from liftgrid.spec import ExperimentSpec
 
-_COMBINERS = 16
+_COMBINERS = 64  # most weight vectors that reach the driver
 HISTORY = "epoch int, loss double, val_loss double, rate double"
 
 
 @dataclass(frozen=True)
 class NetParams:
-    """Network and training settings. ``learners`` is the number of partitions trained at once."""
+    """Network and training settings.
+
+    A learner trains on about ``learner_rows`` rows, whatever the cluster; ``learners`` states their number instead.
+    """
 
     shared: int = 64
     head: int = 32
@@ -41,6 +46,7 @@ class NetParams:
     clip: float = 1.0
     plateau: int = 1
     patience: int = 3
+    learner_rows: int = 1 << 16
     learners: int | None = None
     seed: int = 42
 
@@ -184,11 +190,6 @@ def adam_step(
     flat -= rate * m_hat / (np.sqrt(v_hat) + 1e-8)
 
 
-def _matrix(batch: pa.RecordBatch, features: int) -> np.ndarray:
-    columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(features)]
-    return np.column_stack(columns).astype(np.float64)
-
-
 @dataclass(frozen=True)
 class DualHeadModel:
     """Fitted weights; scoring is a vectorized map over Arrow batches."""
@@ -230,66 +231,101 @@ class DualHeadModel:
         return DualHeadModel(spec, params, weights, tuple(map(tuple, history)), known["outcome"])
 
 
+def dealt(df: DataFrame, unit_id: str, columns: list[Column], parts: int, seed: int) -> DataFrame:
+    """``_part`` and ``columns``, a partition per part; part and order follow from the unit's digest alone."""
+    at = draw(unit_id, "learner", seed)
+    part = (F.conv(F.substring(at, 1, 8), 16, 10).cast("bigint") % F.lit(parts)).cast("int")
+    rows = df.select(part.alias("_part"), *columns, at.alias("_at"), F.col(unit_id).alias("_unit"))
+    return rows.repartitionById(parts, "_part").sortWithinPartitions("_at", "_unit").drop("_at", "_unit")
+
+
+def _examples(batch: pa.RecordBatch, features: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    t, y = (batch.column(features + i).to_numpy(zero_copy_only=False) for i in (1, 2))
+    columns = [batch.column(i + 1).to_numpy(zero_copy_only=False) for i in range(features)]
+    return np.column_stack(columns).astype(np.float64), t, y.astype(np.float64)
+
+
+def _in_blocks(
+    batches: Iterator[pa.RecordBatch], features: int, rows: int
+) -> Iterator[tuple[int, tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """The part and its examples in blocks of exactly ``rows``, the last one excepted, however Arrow cuts them."""
+    part, rest = 0, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        part, more = batch.column(0)[0].as_py(), _examples(batch, features)
+        rest = more if rest is None else tuple(np.concatenate(pair) for pair in zip(rest, more))
+        while len(rest[1]) >= rows:
+            yield part, tuple(a[:rows] for a in rest)
+            rest = tuple(a[rows:] for a in rest)
+    if rest is not None and len(rest[1]):
+        yield part, rest
+
+
+def train_block(
+    state: np.ndarray,
+    step: int,
+    block: tuple[np.ndarray, np.ndarray, np.ndarray],
+    dims: list[tuple[str, tuple[int, ...]]],
+    rng: np.random.Generator,
+    rate: float,
+    p: NetParams,
+) -> tuple[int, float]:
+    """Minibatch steps over a shuffled block, in place; returns the step reached and the summed loss."""
+    (x, t, y), (flat, m, v), total = block, state, 0.0
+    order = rng.permutation(len(y))
+    for at in range(0, len(y), p.batch):
+        pick = order[at : at + p.batch]
+        loss, grad = loss_gradient(flat, dims, x[pick], t[pick], y[pick], p.dropout, rng)
+        step += 1
+        adam_step(flat, m, v, step, grad, rate, p)
+        total += loss
+    return step, total
+
+
 def _train_epoch(
-    data: DataFrame, features: int, state: np.ndarray, steps: int, epoch: int, rate: float, p: NetParams
+    data: DataFrame, learners: int, features: int, state: np.ndarray, steps: int, epoch: int, rate: float, p: NetParams
 ) -> tuple[np.ndarray, int, float]:
-    """Run one epoch in all tasks; return the averaged (weights, moments), steps and loss."""
+    """Run one epoch of all learners; return the averaged (weights, moments), steps and loss.
+
+    Vectors are added in the order of the learners, so the result depends neither on cores nor on finishing order.
+    """
     dims = layout(features, p)
     shared = data.sparkSession.sparkContext.broadcast(state)
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, m, v = (part.copy() for part in shared.value)
-        rows, taken, loss_sum = 0, 0, 0.0
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        held_rows = 0
-
-        def step(x: np.ndarray, t: np.ndarray, y: np.ndarray) -> None:
-            nonlocal taken, loss_sum, rows
-            rng = np.random.default_rng([p.seed, epoch, rows])
-            order = rng.permutation(len(y))
-            for at in range(0, len(y), p.batch):
-                pick = order[at : at + p.batch]
-                loss, grad = loss_gradient(flat, dims, x[pick], t[pick], y[pick], p.dropout, rng)
-                taken += 1
-                adam_step(flat, m, v, steps + taken, grad, rate, p)
-                loss_sum += loss
-            rows += len(y)
-
-        def flush() -> None:
-            nonlocal held, held_rows
-            if held:
-                step(*(np.concatenate(parts) for parts in zip(*held)))
-            held, held_rows = [], 0
-
-        for batch in batches:
-            t = batch.column(features).to_numpy(zero_copy_only=False)
-            y = batch.column(features + 1).to_numpy(zero_copy_only=False).astype(np.float64)
-            held.append((_matrix(batch, features), t, y))
-            held_rows += batch.num_rows
-            if held_rows >= 4 * p.batch:
-                flush()
-        flush()
+        own, rows, step, loss_sum, part = shared.value.copy(), 0, steps, 0.0, 0
+        for part, block in _in_blocks(batches, features, 4 * p.batch):
+            rng = np.random.default_rng([p.seed, epoch, part, rows])
+            step, loss = train_block(own, step, block, dims, rng, rate, p)
+            rows, loss_sum = rows + len(block[1]), loss_sum + loss
         if rows:
-            packed = (np.concatenate([flat, m, v]) * rows).tobytes()
             yield pa.RecordBatch.from_pydict(
-                {"state": [packed], "rows": [rows], "steps": [taken], "loss": [loss_sum]}
+                {"part": pa.array([part], pa.int32()), "state": [(own.ravel() * rows).tobytes()], "rows": [rows],
+                 "steps": [step - steps], "loss": [loss_sum / (step - steps) * rows]}
             )
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, rows, taken, loss = None, 0, 0, 0.0
+        total, rows, taken, loss, first = None, 0, 0, 0.0, 0
         for batch in batches:
             for r in batch.to_pylist():
-                part = np.frombuffer(r["state"])
-                total = part.copy() if total is None else total + part
-                rows, taken, loss = rows + r["rows"], max(taken, r["steps"]), loss + r["loss"] / max(r["steps"], 1) * r["rows"]
+                vector = np.frombuffer(r["state"])
+                first = r["part"] if total is None else first
+                total = vector.copy() if total is None else total + vector
+                rows, taken, loss = rows + r["rows"], max(taken, r["steps"]), loss + r["loss"]
         if total is not None:
             yield pa.RecordBatch.from_pydict(
-                {"state": [total.tobytes()], "rows": [rows], "steps": [taken], "loss": [loss]}
+                {"part": pa.array([first], pa.int32()), "state": [total.tobytes()], "rows": [rows],
+                 "steps": [taken], "loss": [loss]}
             )
 
-    schema = "state binary, rows bigint, steps bigint, loss double"
-    local = data.mapInArrow(train, schema)
-    parts = local.repartition(_COMBINERS).mapInArrow(combine, schema).collect()
+    schema = "part int, state binary, rows bigint, steps bigint, loss double"
+    trained = data.mapInArrow(train, schema)
+    combiners = min(math.isqrt(learners - 1) + 1, _COMBINERS)
+    if combiners > 1:
+        to = F.floor(F.col("part").cast("bigint") * combiners / learners).cast("int")
+        trained = trained.repartitionById(combiners, to).sortWithinPartitions("part").mapInArrow(combine, schema)
+    parts = sorted(trained.collect(), key=lambda r: r["part"])
     shared.unpersist()
     if not parts:
         raise ValueError("no training rows")
@@ -300,20 +336,18 @@ def _train_epoch(
 
 
 def validation_loss(data: DataFrame, features: int, flat: np.ndarray, p: NetParams) -> float:
-    """Arm-balanced loss over all rows, from per-task sums."""
+    """Arm-balanced loss over all rows of :func:`dealt`; parts are added as decimals, in any order alike."""
     dims = layout(features, p)
 
     def losses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, total = unpack(flat, dims), np.zeros(4)
-        for batch in batches:
-            t = batch.column(features).to_numpy(zero_copy_only=False)
-            y = batch.column(features + 1).to_numpy(zero_copy_only=False).astype(np.float64)
-            total += arm_losses(w, _matrix(batch, features), t, y)
+        for _, block in _in_blocks(batches, features, 4 * p.batch):
+            total += arm_losses(w, *block)
         yield pa.RecordBatch.from_pydict({k: [s] for k, s in zip(("l0", "n0", "l1", "n1"), total)})
 
     sums = data.mapInArrow(losses, "l0 double, n0 double, l1 double, n1 double")
-    row = sums.agg(*[F.sum(c).alias(c) for c in ("l0", "n0", "l1", "n1")]).first()
-    return balanced(np.array([row[c] or 0.0 for c in ("l0", "n0", "l1", "n1")]))
+    row = sums.agg(*[F.sum(F.col(c).cast("decimal(28,12)")).alias(c) for c in ("l0", "n0", "l1", "n1")]).first()
+    return balanced(np.array([float(row[c] or 0.0) for c in ("l0", "n0", "l1", "n1")]))
 
 
 def fit_dual_head(
@@ -327,17 +361,18 @@ def fit_dual_head(
     y = outcome or spec.primary_outcome
     columns = [F.col(c).cast("float") for c in spec.features]
     columns += [F.col(spec.treatment).cast("byte"), F.col(y).cast("byte")]
-    learners = params.learners or train.sparkSession.sparkContext.defaultParallelism
-    rows = keep(train.select(spec.unit_id, *columns).repartition(learners, spec.unit_id).drop(spec.unit_id))
-    held = keep(val.select(*columns))
-    base = float(rows.agg(F.avg(y)).first()[0] or 0.0)
+    sizes = [d.agg(F.avg(y).alias("base"), F.count(F.lit(1)).alias("n")).first() for d in (train, val)]
+    base = float(sizes[0].base or 0.0)
+    learners, blocks = (params.learners or max(1, math.ceil(s.n / params.learner_rows)) for s in sizes)
+    rows = keep(dealt(train, spec.unit_id, columns, learners, params.seed))
+    held = keep(dealt(val, spec.unit_id, columns, blocks, params.seed))
     features = len(spec.features)
     flat = initial_weights(features, params, base)
     state = np.stack([flat, np.zeros_like(flat), np.zeros_like(flat)])
     rate, steps, best, best_flat = params.rate, 0, math.inf, flat
     waited, stalled, history = 0, 0, []
     for epoch in range(1, params.epochs + 1):
-        state, taken, loss = _train_epoch(rows, features, state, steps, epoch, rate, params)
+        state, taken, loss = _train_epoch(rows, learners, features, state, steps, epoch, rate, params)
         steps += taken
         val_loss = validation_loss(held, features, state[0], params)
         history.append((epoch, float(loss), float(val_loss), rate))

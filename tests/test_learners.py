@@ -180,6 +180,45 @@ def test_dual_head_finds_the_planted_effect(parts, spec, tmp_path):
     assert separation(again.transform(parts[2])) == pytest.approx((low, high), abs=1e-12)
 
 
+def test_network_follows_from_the_rows_alone(spark, parts, spec):
+    """Neither the layout of the table nor the size of an Arrow batch matters; many learners are added in their order."""
+    params = dualhead.NetParams(batch=128, epochs=2, shared=6, head=4, learner_rows=500)
+    one = dualhead.fit_dual_head(parts[0].repartition(2), parts[1].repartition(3), spec, "visit", params)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "77")
+    try:
+        other = dualhead.fit_dual_head(parts[0].repartition(7), parts[1].coalesce(1), spec, "visit", params)
+    finally:
+        spark.conf.set(name, before)
+    assert np.array_equal(one.weights, other.weights) and one.history == other.history
+
+
+def test_one_learner_is_a_plain_loop(parts, spec):
+    params = dualhead.NetParams(batch=200, epochs=2, shared=6, head=4, rate=3e-3, learners=1, patience=9)
+    model = dualhead.fit_dual_head(parts[0], parts[1], spec, "visit", params)
+    order = F.md5(F.concat(spec.unit_id, F.lit(":learner:42")))
+    columns = [F.col(c).cast("float").alias(c) for c in spec.features]
+    rows = parts[0].orderBy(order).select(*columns, spec.treatment, "visit").toPandas()
+    x = rows[list(spec.features)].to_numpy(dtype=np.float64)
+    t, y = rows[spec.treatment].to_numpy(), rows["visit"].to_numpy(dtype=np.float64)
+    dims = dualhead.layout(x.shape[1], params)
+    flat = dualhead.initial_weights(x.shape[1], params, y.mean())
+    m, v, step, epochs = np.zeros_like(flat), np.zeros_like(flat), 0, []
+    for epoch in (1, 2):
+        for start in range(0, len(y), 800):
+            rng = np.random.default_rng([42, epoch, 0, start])
+            block = start + rng.permutation(min(800, len(y) - start))
+            for at in range(0, len(block), 200):
+                pick = block[at : at + 200]
+                _, grad = dualhead.loss_gradient(flat, dims, x[pick], t[pick], y[pick], params.dropout, rng)
+                step += 1
+                dualhead.adam_step(flat, m, v, step, grad, params.rate, params)
+        epochs.append(flat.copy())
+    best = min((h[2], h[0]) for h in model.history)[1]
+    assert model.weights == pytest.approx(epochs[best - 1], abs=1e-9)
+
+
 def test_models_are_not_taken_for_others(parts, spec, two_models, tmp_path):
     path = str(tmp_path / "t")
     two_models.save(path)

@@ -181,10 +181,11 @@ def bucketed(
     score: str | Column,
     unit_id: str,
     rows_per_bucket: int = ROWS_PER_BUCKET,
+    fitted: Buckets | None = None,
 ) -> DataFrame:
-    """Add the ordering score and the bucket to ``df``."""
+    """Add the ordering score and the bucket to ``df``; cut values that were fitted before are used as they are."""
     scored = df.withColumn(SCORE, ordered_score(score))
-    return fit_buckets(scored, unit_id, rows_per_bucket).place(scored, unit_id)
+    return (fitted or fit_buckets(scored, unit_id, rows_per_bucket)).place(scored, unit_id)
 
 
 def bucket_totals(

@@ -15,6 +15,7 @@ from liftgrid.operators.ranking import (
     BUCKET,
     ROWS_PER_BUCKET,
     SCORE,
+    Buckets,
     bucketed,
     rows_at_ranks,
     running_totals,
@@ -50,6 +51,7 @@ def uplift_curve(
     outcome: str | None = None,
     groups: Sequence[str] = (),
     rows_per_bucket: int = ROWS_PER_BUCKET,
+    fitted: Buckets | None = None,
 ) -> DataFrame:
     """``(*groups, unit_id, score, rank, n, uplift, treatment, outcome)``, one row per unit.
 
@@ -57,7 +59,7 @@ def uplift_curve(
     """
     y = outcome or spec.primary_outcome
     slim = df.select(*groups, spec.unit_id, score, spec.treatment, y)
-    placed = bucketed(slim, score, spec.unit_id, rows_per_bucket)
+    placed = bucketed(slim, score, spec.unit_id, rows_per_bucket, fitted)
     ranked = running_totals(placed, spec.unit_id, groups, arm_sums(spec, y))
     value = F.coalesce(lift(*[F.col(f"cum_{k}") for k in ("t", "c", "yt", "yc")]), F.lit(0.0))
     return ranked.select(
@@ -78,6 +80,7 @@ def ranking_metrics(
     groups: Sequence[str] = (),
     ks: Sequence[float] = (0.10, 0.20),
     rows_per_bucket: int = ROWS_PER_BUCKET,
+    fitted: Buckets | None = None,
 ) -> DataFrame:
     """One row per group: n, ATE, AUUC, Qini (flat and triangle), uplift at k, score moments
     and the decile table, all from a single ranking of the units.
@@ -86,7 +89,7 @@ def ranking_metrics(
     ranking. ``qini_triangle`` subtracts ATE/2 and is kept for comparison with older logs.
     """
     y = outcome or spec.primary_outcome
-    curve = uplift_curve(df, spec, score, y, groups, rows_per_bucket)
+    curve = uplift_curve(df, spec, score, y, groups, rows_per_bucket, fitted)
     t, outcome_col, s = binary(spec.treatment), binary(y), F.col(score).cast("double")
     inside = {f"_k{i}": F.col("rank") <= F.floor(F.col("n") * F.lit(float(k))) for i, k in enumerate(ks)}
     cells = {

@@ -108,3 +108,11 @@ def test_combined_job(spark, units, spec, tmp_path):
     assert out["balance"].count() == 8
     counts = {r["outcome"]: r for r in out["counts"].collect()}
     assert counts["visit"]["n1"] + counts["visit"]["n0"] == 6000
+
+
+def test_tasks_that_write_arms_grow_with_the_rows(spark, small_spec, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "TASK_ROWS", 100)
+    rows = spark.range(1000).selectExpr("id as unit_id", "cast(id % 2 as int) as treatment", "cast(id as double) as f0")
+    tables.write_by_arm(rows, f"{tmp_path}/t", small_spec, 4)
+    files = spark.read.parquet(f"{tmp_path}/t").inputFiles()
+    assert len({f.split("/part-")[1][:5] for f in files}) == 10

@@ -268,7 +268,7 @@ def _fetched(splitters: Splitters):  # noqa: ANN202
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = {n: [] for n in ("g", "s", "doc", "row", "a", "b", "c", "bytes")}
-            for doc, row, text, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc, row, text, _, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for w in wanted:
                     for n in ("g", "s", "a", "b", "c"):
                         out[n].append(w[n])
@@ -371,7 +371,8 @@ def repeated_spans(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataF
     wanted = settled.where(F.col("kind") == _NEED).groupBy("doc", "row").agg(
         F.collect_set(F.struct("g", "s", "a", "b", "c")).alias("wanted")
     )
-    near = texts.join(wanted, ["doc", "row"]).select("doc", "row", "text", "wanted")
+    # All of the row, so that this join and the one that applies the removals share one shuffle of the texts.
+    near = rows.join(wanted, ["doc", "row"]).select(*rows.columns, "wanted")
     fetched = near.mapInArrow(_fetched(splitters), f"{_ROWS}, pid int, bytes binary")
     again = fetched.repartitionById(buckets, "pid").mapInArrow(_compared(splitters), _ROWS)
     across = with_group_min(

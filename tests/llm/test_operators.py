@@ -246,6 +246,20 @@ def test_repeated_strings_of_awkward_rows(spark, empty):
     assert suffixdedup.remove_repeats(empty, "doc_id", "text").count() == 0
 
 
+def test_repeated_strings_shuffle_the_texts_once(spark):
+    texts = prose(40, 8)
+    docs = spark.createDataFrame(list(enumerate(t + texts[0][:150] for t in texts)), "doc_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = suffixdedup.remove_repeats(docs, "doc_id", "text")
+        assert any(r.n_removed > 0 for r in found.collect())
+        final = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(re.findall(r"ReusedExchange \[doc#\w+, row#\w+, text#\w+, k#\w+\]", final)) == 1
+
+
 # 5
 
 

@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,12 +59,23 @@ class Rows:
         return self.ends.size
 
     def take(self, at: np.ndarray) -> Rows:
-        size = np.diff(np.r_[0, self.ends])[at]
-        begin = (self.ends - np.diff(np.r_[0, self.ends]))[at]
-        inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        return Rows(self.words[np.repeat(begin, size) + inside], np.cumsum(size), self.page[at])
+        size = np.diff(self.ends, prepend=0)[at]
+        ends, begin = np.cumsum(size), self.ends[at] - size
+        words = np.empty(size.sum(), self.words.dtype)
+        for low, high, count in zip(begin.tolist(), ends.tolist(), size.tolist(), strict=True):
+            words[high - count : high] = self.words[low : low + count]
+        return Rows(words, ends, self.page[at])
+
+    def blocks(self, rows: int = 1_000) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+        """Some rows at a time, so that what is worked out per word stays small: which, their words, where each row's end."""
+        for low in range(0, len(self), rows):
+            begin = self.ends[low - 1] if low else 0
+            ends = self.ends[low : low + rows]
+            yield slice(low, low + ends.size), self.words[begin : ends[-1]], ends - begin
 
     def with_rows(self, other: Rows) -> Rows:
+        if not len(other):
+            return self
         last = self.ends[-1] if self.ends.size else 0
         return Rows(np.r_[self.words, other.words], np.r_[self.ends, other.ends + last], np.concatenate([self.page, other.page]))
 
@@ -120,8 +132,11 @@ class View:
     def margin(self, rows: Rows) -> np.ndarray:
         if not self.text:
             return rows.page @ self.weights
-        total = np.r_[0.0, np.cumsum(self.weights[rows.words])]
-        return total[rows.ends] - total[np.r_[0, rows.ends[:-1]]] + self.weights[-1] if len(rows) else np.zeros(0)
+        out, before = np.zeros(len(rows)), 0.0
+        for some, words, ends in rows.blocks():
+            total = np.cumsum(np.r_[before, self.weights[words]])
+            out[some], before = total[ends] - total[np.r_[0, ends[:-1]]] + self.weights[-1], total[-1]
+        return out
 
     def logit(self, rows: Rows) -> np.ndarray:
         return self.margin(rows) * self.line[0] + self.line[1]
@@ -133,9 +148,10 @@ def _fit_text(rows: Rows, label: np.ndarray, decay: float = 1e-4, steps: int = 2
     Of many rare words some always seem to; only those count whose shares of the two labels' rows
     differ by ``APART`` standard errors.
     """
-    row = np.repeat(np.arange(len(rows)), np.diff(np.r_[0, rows.ends]))
-    count = np.bincount(rows.words, minlength=WORDS)
-    good = np.bincount(rows.words, label[row], WORDS)
+    count, good = np.zeros(WORDS, np.int64), np.zeros(WORDS)
+    for some, words, ends in rows.blocks():
+        count += np.bincount(words, minlength=WORDS)
+        good += np.bincount(words, np.repeat(label[some], np.diff(ends, prepend=0)), WORDS)
     sides = np.array([label.sum(), (1 - label).sum()])
     mean = count / len(rows)
     error = np.sqrt(np.maximum(mean * (1 - mean), 1e-12) * (1 / sides).sum())
@@ -143,8 +159,11 @@ def _fit_text(rows: Rows, label: np.ndarray, decay: float = 1e-4, steps: int = 2
     own = np.full(WORDS, -1)
     used = np.flatnonzero((count >= LEAST_ROWS) & (apart >= APART))
     own[used] = np.arange(used.size)
-    word = own[rows.words]
-    row, word = row[word >= 0], word[word >= 0]
+    parts = [(np.zeros(0, np.int64),) * 2]
+    for some, words, ends in rows.blocks():
+        row, word = np.repeat(np.arange(some.start, some.stop), np.diff(ends, prepend=0)), own[words]
+        parts.append((row[word >= 0], word[word >= 0]))
+    row, word = map(np.concatenate, zip(*parts, strict=True))
 
     def gradient(w: np.ndarray) -> np.ndarray:
         gap = (_chance(np.bincount(row, w[word], len(rows)) + w[-1]) - label) / len(rows)
@@ -157,10 +176,12 @@ def _fit_text(rows: Rows, label: np.ndarray, decay: float = 1e-4, steps: int = 2
 
 
 def _fit_page(rows: Rows, label: np.ndarray, decay: float = 1e-4, steps: int = 300) -> np.ndarray:
+    page = rows.page.astype(np.float64)
+
     def gradient(w: np.ndarray) -> np.ndarray:
-        return rows.page.T @ ((_chance(rows.page @ w) - label) / len(rows)) + decay * w
+        return page.T @ ((_chance(page @ w) - label) / len(rows)) + decay * w
 
-    return _adam(np.zeros(rows.page.shape[1]), gradient, steps, 0.2)
+    return _adam(np.zeros(page.shape[1]), gradient, steps, 0.2)
 
 
 def _line(margins: np.ndarray, label: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -230,12 +251,12 @@ def _sampled(docs: DataFrame, text: str, metadata: list[str], labels: list[str])
     named = [F.col(text), *[F.col(m).cast("string") for m in metadata], *[F.col(c).cast("double") for c in labels]]
     wide = docs.select(*[c.alias(f"c{k}") for k, c in enumerate(named)])
     schema = "words array<int>, page array<float>" + "".join(f", {c} double" for c in labels)
-    got = map_batches(wide, work, schema).toArrow().combine_chunks()
-    words = got["words"].combine_chunks()
-    page = np.stack(got["page"].to_numpy()) if got.num_rows else np.zeros((0, LAYOUT + VALUES * len(metadata)))
-    flat = words.flatten().to_numpy().astype(np.int64)
-    ends = words.offsets.to_numpy()[1:].astype(np.int64) - (int(words.offsets[0].as_py()) if len(words) else 0)
-    return Rows(flat, ends, page.astype(np.float64)), np.column_stack([got[c].to_numpy() for c in labels]) if labels else np.zeros((got.num_rows, 0))
+    got = map_batches(wide, work, schema).toArrow()
+    words = np.concatenate([np.zeros(0, np.int32), *(c.flatten().to_numpy() for c in got["words"].chunks)])
+    ends = np.cumsum(pc.list_value_length(got["words"]).to_numpy(), dtype=np.int64)
+    page = np.concatenate([np.zeros(0, np.float32), *(c.flatten().to_numpy() for c in got["page"].chunks)])
+    rows = Rows(words, ends, page.reshape(got.num_rows, LAYOUT + VALUES * len(metadata)))
+    return rows, np.column_stack([got[c].to_numpy() for c in labels]) if labels else np.zeros((got.num_rows, 0))
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str, text: str, metadata: list[str]) -> dict[str, Target | None]:
@@ -255,6 +276,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str, text: str, metadata: lis
     known = once.select(F.col(key).alias("_key")).where(uniform(11, "_key") < share)
     rest = docs.where(uniform(11, key) < share).join(known, docs[key] == F.col("_key"), "left_anti")
     pool, _ = _sampled(rest, text, metadata, [])
+    pa.default_memory_pool().release_unused()
     out = {}
     for k, target in enumerate(TARGETS):
         seen = np.flatnonzero(~np.isnan(values[:, k]))

@@ -6,6 +6,7 @@ import hashlib
 import os
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -505,6 +506,20 @@ def test_quality_of_held_out_documents(spark, empty):
     assert quality.judge(empty, none, "text", ["lang"]).count() == 0
 
 
+def test_training_of_classifiers_holds_little_per_word():
+    rng = np.random.default_rng(4)
+    words = rng.integers(0, quality.WORDS, 4_000_000).astype(np.int32)
+    rows = quality.Rows(words, np.arange(1, 8_001) * 500, np.zeros((8_000, quality.LAYOUT), np.float32))
+    tracemalloc.start()
+    view = quality.View(True, quality._fit_text(rows, np.arange(8_000) % 2.0, steps=2), np.array([1.0, 0.0]))
+    margin = view.margin(rows.take(np.arange(4_000)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = view.weights[words[: 4_000 * 500]].reshape(4_000, 500).sum(axis=1) + view.weights[-1]
+    assert np.allclose(margin, want)
+    assert peak < 8 * words.size
+
+
 # 10
 
 

@@ -86,30 +86,55 @@ def initial_weights(features: int, p: NetParams, base_rate: float) -> np.ndarray
     return np.concatenate(flat)
 
 
-def _elu(a: np.ndarray) -> np.ndarray:
-    return np.where(a > 0, a, np.expm1(np.minimum(a, 0)))
+class Work:
+    """Working arrays by name, used again for every batch: the system clears the pages of a new large array each time."""
 
+    def __init__(self) -> None:
+        self._own: dict[str, np.ndarray] = {}
 
-def _elu_slope(h: np.ndarray) -> np.ndarray:
-    return np.where(h > 0, 1.0, h + 1.0)
+    def __call__(self, name: str, *shape: int) -> np.ndarray:
+        size = math.prod(shape)
+        if name not in self._own or self._own[name].size < size:
+            self._own[name] = np.empty(size)
+        return self._own[name][:size].reshape(shape)
+
+
+def _layer(x: np.ndarray, weights: np.ndarray, bias: np.ndarray, work: Work, name: str) -> np.ndarray:
+    """``x`` times ``weights`` plus ``bias`` through exponential linear units, in the working array ``name``."""
+    out = np.matmul(x, weights, out=work(name, len(x), weights.shape[1]))
+    out += bias
+    low = np.minimum(out, 0.0, out=work("low", *out.shape))
+    np.expm1(low, out=low)
+    np.maximum(out, 0.0, out=out)
+    out += low
+    return out
+
+
+def _times_slope(d: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Multiply ``d`` by the slope of the units with output ``h``; both arrays are overwritten."""
+    np.minimum(h, 0.0, out=h)
+    h += 1.0
+    d *= h
+    return d
 
 
 def _sigmoid(a: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * a))
 
 
-def forward(w: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def forward(w: dict[str, np.ndarray], x: np.ndarray, work: Work | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Both heads' log-odds, without dropout."""
-    phi = _elu(_elu(x @ w["w1"] + w["b1"]) @ w["w2"] + w["b2"])
-    heads = (_elu(phi @ w[f"u{h}"] + w[f"c{h}"]) @ w[f"v{h}"] + w[f"d{h}"] for h in "01")
+    work = work or Work()
+    phi = _layer(_layer(x, w["w1"], w["b1"], work, "h1"), w["w2"], w["b2"], work, "h2")
+    heads = (_layer(phi, w[f"u{h}"], w[f"c{h}"], work, "hidden") @ w[f"v{h}"] + w[f"d{h}"] for h in "01")
     return tuple(heads)
 
 
 def arm_losses(
-    w: dict[str, np.ndarray], x: np.ndarray, t: np.ndarray, y: np.ndarray
+    w: dict[str, np.ndarray], x: np.ndarray, t: np.ndarray, y: np.ndarray, work: Work | None = None
 ) -> np.ndarray:
     """Summed cross-entropy and rows of each arm: [loss0, n0, loss1, n1]."""
-    z0, z1 = forward(w, x)
+    z0, z1 = forward(w, x, work)
     out = []
     for arm, z in ((0, z0), (1, z1)):
         own = t == arm
@@ -133,44 +158,52 @@ def loss_gradient(
     y: np.ndarray,
     dropout: float = 0.0,
     rng: np.random.Generator | None = None,
+    work: Work | None = None,
 ) -> tuple[float, np.ndarray]:
     """Arm-balanced loss of a batch and its gradient."""
-    w = unpack(flat, dims)
+    w, work = unpack(flat, dims), work or Work()
     grad = np.zeros_like(flat)
     g = unpack(grad, dims)
 
-    def mask(shape: tuple[int, ...]) -> np.ndarray | float:
+    def dropped(h: np.ndarray, name: str) -> tuple[np.ndarray, np.ndarray | None]:
         if not dropout or rng is None:
-            return 1.0
-        return (rng.random(shape) >= dropout) / (1 - dropout)
-
-    h1 = _elu(x @ w["w1"] + w["b1"])
-    m1 = mask(h1.shape)
-    a1 = h1 * m1
-    h2 = _elu(a1 @ w["w2"] + w["b2"])
-    m2 = mask(h2.shape)
-    phi = h2 * m2
-    loss, dphi = 0.0, np.zeros_like(phi)
+            return h, None
+        kept = rng.random(out=work(f"m{name}", *h.shape))
+        np.greater_equal(kept, dropout, out=kept)
+        kept /= 1 - dropout
+        return np.multiply(h, kept, out=work(f"a{name}", *h.shape)), kept
+
+    h1 = _layer(x, w["w1"], w["b1"], work, "h1")
+    a1, m1 = dropped(h1, "1")
+    h2 = _layer(a1, w["w2"], w["b2"], work, "h2")
+    phi, m2 = dropped(h2, "2")
+    loss, dphi = 0.0, work("dphi", *phi.shape)
+    dphi.fill(0.0)
     for arm, h in ((0, "0"), (1, "1")):
         own = np.flatnonzero(t == arm)
         if not own.size:
             continue
-        p_own, yy = phi[own], y[own]
-        hidden = _elu(p_own @ w[f"u{h}"] + w[f"c{h}"])
+        yy, p_own = y[own], np.take(phi, own, axis=0, out=work("p_own", own.size, phi.shape[1]), mode="clip")
+        hidden = _layer(p_own, w[f"u{h}"], w[f"c{h}"], work, "hidden")
         z = hidden @ w[f"v{h}"] + w[f"d{h}"]
         scale = 0.5 / own.size
         loss += scale * float((np.maximum(z, 0) - z * yy + np.log1p(np.exp(-np.abs(z)))).sum())
         dz = (_sigmoid(z) - yy) * scale
         g[f"v{h}"] += hidden.T @ dz
         g[f"d{h}"] += dz.sum()
-        da = np.outer(dz, w[f"v{h}"]) * _elu_slope(hidden)
+        da = _times_slope(np.outer(dz, w[f"v{h}"], out=work("da", *hidden.shape)), hidden)
         g[f"u{h}"] += p_own.T @ da
         g[f"c{h}"] += da.sum(axis=0)
-        dphi[own] += da @ w[f"u{h}"].T
-    d2 = dphi * m2 * _elu_slope(h2)
+        dphi[own] = np.matmul(da, w[f"u{h}"].T, out=p_own)
+    if m2 is not None:
+        dphi *= m2
+    d2 = _times_slope(dphi, h2)
     g["w2"] += a1.T @ d2
     g["b2"] += d2.sum(axis=0)
-    d1 = (d2 @ w["w2"].T) * m1 * _elu_slope(h1)
+    d1 = np.matmul(d2, w["w2"].T, out=work("d1", *h1.shape))
+    if m1 is not None:
+        d1 *= m1
+    d1 = _times_slope(d1, h1)
     g["w1"] += x.T @ d1
     g["b1"] += d1.sum(axis=0)
     return loss, grad
@@ -203,11 +236,11 @@ class DualHeadModel:
     def transform(self, df: DataFrame) -> DataFrame:
         """Add ``tau``, the difference of the two predicted probabilities."""
         dims = layout(len(self.spec.features), self.params)
-        w = unpack(self.weights, dims)
+        w, work = unpack(self.weights, dims), Work()
 
         @F.pandas_udf("double")
         def effect(*columns: pd.Series) -> pd.Series:
-            z0, z1 = forward(w, np.column_stack(columns).astype(np.float64))
+            z0, z1 = forward(w, np.column_stack(columns).astype(np.float64), work)
             return pd.Series(_sigmoid(z1) - _sigmoid(z0))
 
         return df.withColumn("tau", effect(*[F.col(c).cast("double") for c in self.spec.features]))
@@ -270,13 +303,14 @@ def train_block(
     rng: np.random.Generator,
     rate: float,
     p: NetParams,
+    work: Work | None = None,
 ) -> tuple[int, float]:
     """Minibatch steps over a shuffled block, in place; returns the step reached and the summed loss."""
-    (x, t, y), (flat, m, v), total = block, state, 0.0
+    (x, t, y), (flat, m, v), total, work = block, state, 0.0, work or Work()
     order = rng.permutation(len(y))
     for at in range(0, len(y), p.batch):
         pick = order[at : at + p.batch]
-        loss, grad = loss_gradient(flat, dims, x[pick], t[pick], y[pick], p.dropout, rng)
+        loss, grad = loss_gradient(flat, dims, x[pick], t[pick], y[pick], p.dropout, rng, work)
         step += 1
         adam_step(flat, m, v, step, grad, rate, p)
         total += loss
@@ -294,10 +328,10 @@ def _train_epoch(
     shared = data.sparkSession.sparkContext.broadcast(state)
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, rows, step, loss_sum, part = shared.value.copy(), 0, steps, 0.0, 0
+        own, rows, step, loss_sum, part, work = shared.value.copy(), 0, steps, 0.0, 0, Work()
         for part, block in _in_blocks(batches, features, 4 * p.batch):
             rng = np.random.default_rng([p.seed, epoch, part, rows])
-            step, loss = train_block(own, step, block, dims, rng, rate, p)
+            step, loss = train_block(own, step, block, dims, rng, rate, p, work)
             rows, loss_sum = rows + len(block[1]), loss_sum + loss
         if rows:
             yield pa.RecordBatch.from_pydict(
@@ -340,9 +374,9 @@ def validation_loss(data: DataFrame, features: int, flat: np.ndarray, p: NetPara
     dims = layout(features, p)
 
     def losses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, total = unpack(flat, dims), np.zeros(4)
+        w, total, work = unpack(flat, dims), np.zeros(4), Work()
         for _, block in _in_blocks(batches, features, 4 * p.batch):
-            total += arm_losses(w, *block)
+            total += arm_losses(w, *block, work)
         yield pa.RecordBatch.from_pydict({k: [s] for k, s in zip(("l0", "n0", "l1", "n1"), total)})
 
     sums = data.mapInArrow(losses, "l0 double, n0 double, l1 double, n1 double")

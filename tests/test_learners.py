@@ -265,6 +265,35 @@ def test_gradient_matches_differences():
         assert grad[i] == pytest.approx((up - down) / 2e-6, abs=1e-6)
 
 
+def test_network_works_in_arrays_it_has():
+    """Batches of any size, in arrays that were used before, give the bits of plain formulas, and no large array is made anew."""
+    import tracemalloc
+
+    p = dualhead.NetParams(shared=64, head=32)
+    rng = np.random.default_rng(3)
+    dims, flat = dualhead.layout(5, p), dualhead.initial_weights(5, p, 0.2)
+    w, work = dualhead.unpack(flat, dims), dualhead.Work()
+
+    def elu(a):
+        return np.where(a > 0, a, np.expm1(np.minimum(a, 0)))
+
+    for rows in (700, 300, 4000):
+        x, t, y = rng.normal(size=(rows, 5)), (rng.random(rows) < 0.8).astype(int), (rng.random(rows) < 0.3).astype(float)
+        phi = elu(elu(x @ w["w1"] + w["b1"]) @ w["w2"] + w["b2"])
+        plain = [elu(phi @ w[f"u{h}"] + w[f"c{h}"]) @ w[f"v{h}"] + w[f"d{h}"] for h in "01"]
+        assert all(np.array_equal(a, b) for a, b in zip(dualhead.forward(w, x, work), plain))
+        fresh = dualhead.loss_gradient(flat, dims, x, t, y, 0.1, np.random.default_rng(1))
+        again = dualhead.loss_gradient(flat, dims, x, t, y, 0.1, np.random.default_rng(1), work)
+        assert fresh[0] == again[0] and np.array_equal(fresh[1], again[1])
+    dualhead.loss_gradient(flat, dims, x, t, y, 0.1, rng, work)
+    tracemalloc.start()
+    dualhead.loss_gradient(flat, dims, x, t, y, 0.1, rng, work)
+    dualhead.forward(w, x, work)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < rows * p.shared * 8
+
+
 def test_balanced_loss_ignores_arm_size():
     assert dualhead.balanced(np.array([10.0, 10.0, 3000.0, 1000.0])) == pytest.approx(0.5 * 1 + 0.5 * 3)
     assert dualhead.balanced(np.array([0.0, 0.0, 30.0, 10.0])) == pytest.approx(1.5)

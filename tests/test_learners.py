@@ -169,6 +169,11 @@ def test_growing_horizon_equals_the_whole_run_cut_at_its_best_round(parts, spec)
     assert both.agg(F.max(F.abs(F.col("a") - F.col("b")))).first()[0] == 0
 
 
+def test_boosting_cuts_its_lineage_often(spark):
+    """Every task reads the lineage of the predictions, which has a tree for each round since they were last stored."""
+    assert boosting._regressor("visit", boosting.NUISANCE_Y_PARAMS).getCheckpointInterval() <= 10
+
+
 def test_dual_head_finds_the_planted_effect(parts, spec, tmp_path):
     params = dualhead.NetParams(batch=256, rate=3e-3, epochs=6, shared=48, head=20)
     model = dualhead.fit_dual_head(parts[0], parts[1], spec, "visit", params)

@@ -6,6 +6,7 @@ from dataclasses import replace
 import numpy as np
 import pytest
 from pyspark.ml.functions import array_to_vector
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from liftgrid.catalog.queries import splits
@@ -154,6 +155,39 @@ def test_forest_of_few_units_and_bounded_trees(spark):
         forest.fit_honest_forest(df.limit(0), spec)
 
 
+@pytest.mark.parametrize("depth", [1, 2, 6])
+def test_trees_of_many_units_use_their_whole_sample(spark, monkeypatch, depth):
+    """Trees that don't fit into a task are grown across tasks, from the same units and to the same splits and moments."""
+    df, *_ = residual_frame(spark)
+    spec, params = ExperimentSpec(features=("a", "b", "c")), forest.ForestParams(trees=3, depth=depth, min_leaf=5, row_fraction=0.9)
+    ones = forest.fit_honest_forest(df.repartition(3), spec, params)
+    monkeypatch.setattr(forest, "TASK_UNITS", 200)
+    monkeypatch.setattr(forest, "_HISTOGRAM_BYTES", 2 * 5 * 3 * 256 * 24)  # two trees at a time
+    many = forest.fit_honest_forest(df.repartition(4), spec, params)
+    scores = [{r["unit_id"]: r["tau"] for r in m.transform(df.select("unit_id", "features")).collect()} for m in (ones, many)]
+    assert scores[1] == pytest.approx(scores[0])
+    for one, other in zip(*[m.trees.orderBy("tree").collect() for m in (ones, many)], strict=True):
+        assert one["tree"] == other["tree"] and sorted(one["cut"]) == sorted(other["cut"])
+        for c in ("n", "t", "y", "ty", "tt"):
+            assert sorted(v for v, f in zip(other[c], other["feature"], strict=True) if f < 0) == pytest.approx(
+                sorted(v for v, f in zip(one[c], one["feature"], strict=True) if f < 0)
+            )
+
+
+def test_no_query_bounds_the_units_of_a_tree(monkeypatch):
+    from liftgrid.catalog import queries
+
+    assert forest.ForestParams().tree_units is None
+    seen = []
+    monkeypatch.setattr(queries, "fit_honest_forest", lambda rows, spec, params: seen.append(params) or queries)
+    monkeypatch.setattr(queries, "transform", lambda df: df.withColumn("tau", F.lit(0.0)), raising=False)
+    monkeypatch.setattr(queries, "with_features", lambda df, spec: df)
+    monkeypatch.setattr(queries, "units", lambda spark, folder: spark)
+    frame = SparkSession.active().createDataFrame([("u", 50.0, 1, 1)], "unit_id string, f0 double, visit int, treatment int")
+    queries.honest_tree_effects(frame, "")
+    assert seen[0].tree_units is None and seen[0].row_fraction == 1.0
+
+
 def test_growing_horizon_equals_the_whole_run_cut_at_its_best_round(parts, spec):
     """Early stopping by steps gives the trees that fitting all rounds and refitting to the best one gives."""
     rows, held = (meta.with_features(arm_rows(p, spec, 0), spec) for p in parts[:2])

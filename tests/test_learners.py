@@ -203,6 +203,47 @@ def test_growing_horizon_equals_the_whole_run_cut_at_its_best_round(parts, spec)
     assert both.agg(F.max(F.abs(F.col("a") - F.col("b")))).first()[0] == 0
 
 
+def labelled(spark, count, parts):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(count, 3)).round(1)
+    y = (rng.random(count) < 0.2 + 0.3 * (x[:, 0] > 0.4)).astype(float)
+    df = spark.createDataFrame([(a.tolist(), float(b)) for a, b in zip(x, y, strict=True)], "x array<double>, y double")
+    return df.select(array_to_vector("x").alias("features"), "y").coalesce(1).repartition(parts).cache()
+
+
+def test_rounds_grow_the_trees_of_mllib(spark, monkeypatch):
+    """The same trees node by node, in one task and with a job per level; without a job per round where rows fit into a task."""
+    rows, params = labelled(spark, 800, 1), boosting.BoostParams(rounds=12, depth=4, step=0.2, min_leaf=3, feature_fraction=0.5)
+    text = [line for line in boosting._regressor("y", params).fit(rows).toDebugString.split("\n") if "uid" not in line]
+    one = boosting.fit_boosted(rows, "y", params)
+    assert [line for line in one.toDebugString.split("\n") if "uid" not in line] == text
+    monkeypatch.setattr(boosting, "ONE_TASK_ROWS", 100)
+    many = boosting.fit_boosted(rows, "y", params)
+    assert [line for line in many.toDebugString.split("\n") if "uid" not in line] == text
+
+
+def test_fits_of_few_rows_take_few_jobs(spark):
+    rows, params = labelled(spark, 200, 1), boosting.BoostParams(rounds=30, depth=3, min_leaf=3)
+    spark.sparkContext.setJobGroup("boosting", "boosting")
+    try:
+        boosting.fit_boosted(rows, "y", params)
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("boosting")) < 30
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_rounds_across_tasks_stop_at_the_held_error(spark, monkeypatch):
+    rows, held = labelled(spark, 900, 3), labelled(spark, 300, 2)
+    params = boosting.BoostParams(rounds=40, depth=3, step=0.4, min_leaf=3, patience=4)
+    monkeypatch.setattr(boosting, "TASK_ROWS", 300)
+    one = boosting.fit_boosted(rows, "y", params, held)
+    monkeypatch.setattr(boosting, "ONE_TASK_ROWS", 100)
+    many = boosting.fit_boosted(rows, "y", params, held)
+    assert one.getNumTrees == many.getNumTrees < 40
+    both = boosting.predict(many, boosting.predict(one, held, "a"), "b")
+    assert both.agg(F.max(F.abs(F.col("a") - F.col("b")))).first()[0] < 1e-9
+
+
 def test_boosting_cuts_its_lineage_often(spark):
     """Every task reads the lineage of the predictions, which has a tree for each round since they were last stored."""
     assert boosting._regressor("visit", boosting.NUISANCE_Y_PARAMS).getCheckpointInterval() <= 10
